@@ -80,9 +80,9 @@ s as (
   from w),
 e as (select doc_id, unnest(sh) as g from s),
 n as (select doc_id, len(sh) as n from s),
-both as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 links as (
-  select a, b, c, x.n as na, y.n as nb from both join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+  select a, b, c, x.n as na, y.n as nb from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
 edges as (select a as u, b as v from links union all select b, a from links),
 reach as (select doc_id as u, doc_id as v from n union select reach.u, edges.v from reach join edges on reach.v = edges.u),
 least as (select u, min(v) as component_id from reach group by u),
