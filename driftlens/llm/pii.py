@@ -100,10 +100,9 @@ def permuted(text: Column, key: str, kind: Column) -> Column:
     return _once(whole, lambda v: F.concat(v["l"], v["r"]))
 
 
-def _refilled(form: Column, chars: Column) -> Column:
-    """``form`` with its letters and digits replaced in order by ``chars``."""
-    places = F.regexp_replace(form, r"[\p{L}\p{N}]", "x")
-    cut = F.split(places, "x", -1)
+def _refilled(form: Column, places: Column, chars: Column) -> Column:
+    """``form`` with what matches ``places``, single characters, replaced in order by ``chars``."""
+    cut = F.split(F.regexp_replace(form, places, F.lit("\x01")), "\x01", -1)
     return F.array_join(F.transform(cut, lambda p, k: F.when(k == 0, p).otherwise(F.concat(_char(chars, k), p))), "")
 
 
@@ -150,10 +149,13 @@ def surrogate(found: Column, key: str) -> Column:
 
     def filled(v: Column) -> Column:
         form = F.substring(found, F.length(v["front"]) + 1, n - F.length(v["front"]) - F.length(v["back"]))
-        core = F.regexp_replace(form, r"[^\p{L}\p{N}]", "")
+        # letters and digits move; of names not the last letter of each, which often tells the gender
+        places = F.when(v["kind"] == "name", r"[\p{L}\p{N}](?! )").otherwise(r"[\p{L}\p{N}]")
+        others = F.when(v["kind"] == "name", r"[^\p{L}\p{N}]|[\p{L}\p{N}](?= )").otherwise(r"[^\p{L}\p{N}]")
+        core = F.regexp_replace(form, others, F.lit(""))
         new = F.struct(core.alias("old"), permuted(core, key, v["kind"]).alias("new"))
         check = lambda x: F.pmod(v["back"].cast("int") + _luhn(x["new"]) - _luhn(x["old"]), F.lit(10)).cast("string")
-        return _once(new, lambda x: F.concat(v["front"], _refilled(form, x["new"]), F.when(v["kind"] == "card", check(x)).otherwise(v["back"])))
+        return _once(new, lambda x: F.concat(v["front"], _refilled(form, places, x["new"]), F.when(v["kind"] == "card", check(x)).otherwise(v["back"])))
 
     kind = kind_of(found)
     return _once(kind, lambda k: F.when(k == "ip", _ip(found, key)).otherwise(whole(k)))
