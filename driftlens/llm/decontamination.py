@@ -46,7 +46,7 @@ class Index:
         order = np.argsort(codes, kind="stable")
         self.places = np.asarray([(k, at) for _, k, at in grams], np.int64).reshape(-1, 2)[order]
         self.codes, self.first = np.unique(codes[order], return_index=True)
-        self.last = np.append(self.first[1:], len(order))
+        self.last = np.append(self.first[1:], len(order))[: len(self.first)]
 
     @staticmethod
     def grams(ids: np.ndarray) -> np.ndarray:

@@ -1,0 +1,387 @@
+"""The ten operators and the pipeline: edge cases, brute force, round trips and held-out accuracy."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from driftlens.llm import decontamination, html_text, jaccard_join, language_id, packing, pii, queries, secrets, token_counts, top_k, url_filter
+from driftlens.llm.components import components
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string, lang string, n_tokens string, node long, id string"
+
+
+def docs_of(spark, rows):
+    """Documents with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(d, t, "s", "en", "x", 7, "y") for d, t in rows], DOCS).repartition(3)
+
+
+EDGE = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (4, "one"), (5, "word " * 30_000), (None, "one two")]
+
+
+def brute_components(rows):
+    sets, parent = {}, {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        parent[d] = d
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in sets}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_is_exact(spark, seed):
+    rng, rows = random.Random(seed), []
+    vocabulary = [f"w{k}" for k in range(400)]
+    for base in range(14):
+        words = rng.choices(vocabulary, k=rng.choice([1, 4, 5, 6, 9, 12, 20, 40, 80, 200, 500]))
+        for _ in range(rng.choice([1, 2, 6, 14])):
+            own = list(words)
+            for _ in range(rng.randint(0, 1 + len(own) // 18)):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            rows.append((len(rows), rng.choice([" ", "\n"]).join(own).upper() if rng.random() < 0.3 else " ".join(own)))
+    rows += [(len(rows), None), (len(rows) + 1, "  ")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs_of(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_join_edges(spark):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs_of(spark, EDGE)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (4, 1, 4), (5, 1, 5), (None, 1, None)], key=str)
+    assert jaccard_join.jaccard_join(docs_of(spark, EDGE).limit(0)).count() == 0
+    assert sorted(r.doc_id for r in jaccard_join.one_of_each(docs_of(spark, EDGE)).where("doc_id is not null").collect()) == [1, 2, 3, 4, 5]
+
+
+def test_hot_signatures_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) + f" x{k} y{k}") for k in range(12)] + [(20 + k, " ".join(f"v{k}{j}" for j in range(40))) for k in range(5)]
+    rng = np.random.default_rng(0)
+    sets = [jaccard_join.shingles(t, jaccard_join.WordHashes()) for _, t in rows]
+    keys = np.concatenate([k for s in sets for k, _ in jaccard_join.entries(s)])
+    assert len(keys) > 100 and rng is not None
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs_of(spark, rows)).collect()}
+    assert got == {d: c for d, (_, c) in brute_components(rows).items()}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 10**6), st.floats(0, 0.3))
+def test_pigeonhole(n, seed, share):
+    """Partners share a signature in the smaller's band."""
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    drop = rng.random(len(a)) < share / 2
+    b = np.unique(np.concatenate([a[~drop], rng.integers(0, 2**63, int(drop.sum() * rng.random() * 2), dtype=np.uint64)]))
+    if not len(b) or 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+        return
+    large, small = (a, b) if len(a) >= len(b) else (b, a)
+    own = next(jaccard_join.entries(small))[0]
+    assert any(len(np.intersect1d(k, own)) for k, _ in jaccard_join.entries(large))
+    differ = len(np.setxor1d(a, b))
+    assert sum(int(x).bit_count() for x in (jaccard_join.parities(a) ^ jaccard_join.parities(b)).view(np.uint64)) <= differ <= (len(a) + len(b)) // 9
+
+
+def test_components(spark):
+    edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (7, 7)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+URLS = ["http://A.Example.NET/en/x?y=1", "https://x.net", "https://x.net/a", "http://m.example.com/de/", "ftp://sub.org/fr/1#z", "http://org/fr/", "http://other.com/de", None, "no scheme", "://host/p", "", "http://x.internet/a?b://c"]
+
+
+def test_url_rules(spark):
+    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(URLS)], "page_id long, url string, host string, rule string")
+    got = [(r.host, r.path, r.rule) for r in url_filter.judge(pages, url_filter.fit(pages)).orderBy("page_id").collect()]
+    assert got == [
+        ("a.example.net", "/en/x", "example.net/en/"), ("x.net", "", None), ("x.net", "/a", "net/"), ("m.example.com", "/de/", "example.com/de/"), ("sub.org", "/fr/1", "org/fr/"),
+        ("org", "/fr/", "org/fr/"), ("other.com", "/de", None), ("", "", None), ("", "", None), ("host", "/p", None), ("", "", None), ("x.internet", "/a", None),
+    ]
+    assert url_filter.judge(pages.limit(0), url_filter.fit(pages.limit(0))).count() == 0
+
+
+def test_url_trees_learn(spark):
+    rows = [(k, f"http://h{k % 9}.{'spam' if k % 2 else 'news'}.xyz/{'a1b2c3d4' * (k % 2)}/{k}") for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (("spam.xyz/", "block"), ("news.xyz/", "allow"))
+    model = url_filter.fit(pages, rules)
+    judged = url_filter.judge(pages, model, rules).select("page_id", (F.col("score") > 0.5).alias("bad")).collect()
+    assert sum(r.bad == bool(r.page_id % 2) for r in judged) >= 396
+    plan = url_filter.judge(pages, model, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+PRIVATE = "Ann.Lee42@mail7.example.com, ann.lee42@MAIL7.example.com; +1 (599) 555-3756 or 4929526289707589 at 187.87.99.220; Frau Anna Schmidt, Mr. Lee; 123-45-6789 DE89 3704 0044 0532 0130 00"
+
+
+def test_pii_surrogates(spark):
+    rows = [(1, PRIVATE), (2, "v 2.0. in 1999-2001 at 12:30, section 3.4.0"), (3, None), (4, ""), (5, "x " * 50_000 + "bob.1@mail1.example.com"), (6, "Call +1 (599) 555-3756"), (6, "Call +1 (599) 555-3756")]
+    got = collections.defaultdict(list)
+    for r in pii.replace_pii(docs_of(spark, rows), keep=("source", "n_tokens")).collect():
+        got[r.doc_id].append(r)
+        assert r.n_distinct == r.n_surrogates and r.source == "s"
+    for secret in ("Lee42", "lee42", "555-3756", "4929526289707589", "187.87.99.220", "Schmidt", "Mr. Lee", "123-45-6789", "0532 0130"):
+        assert secret not in got[1][0].text
+    assert got[2][0].text == rows[1][1] and got[3][0].text is None and got[4][0].text == ""
+    assert len(got[5][0].text) == len(rows[4][1]) and "bob.1" not in got[5][0].text
+    first, second = re.findall(r"[\w.]+@[\w.]+", got[1][0].text)
+    assert first.lower() == second.lower() and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d\d@[a-z]{4}\d\.[a-z]{7}\.com", first)
+    assert re.search(r"Frau [A-Z][a-z]{2}a ", got[1][0].text) and len(got[6]) == 2 and got[6][0].text == got[6][1].text
+    assert got[6][0].text[5:] in got[1][0].text  # one entity, one surrogate
+    assert pii.replace_pii(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_pii_is_a_bijection_and_native(spark):
+    n = 3000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("a%04d@x.org 4%015d 10.0.%d.%d", "id", "id", F.floor(F.col("id") / 256), F.col("id") % 256).alias("text"))
+    got = pii.replace_pii(df)
+    parts = got.select(F.split("text", " ").alias("p")).select(*(F.col("p")[k].alias(f"c{k}") for k in range(3)))
+    assert parts.agg(*(F.countDistinct(f"c{k}") for k in range(3))).first() == (n, n, n)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def luhn(number):
+    digits = [int(c) for c in number][::-1]
+    return sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10
+
+
+def test_cards_keep_their_check(spark):
+    df = spark.createDataFrame([(1, "4111111111111111"), (2, "4929526289707580")], "doc_id long, text string")
+    for r, before in zip(pii.replace_pii(df).orderBy("doc_id").collect(), ("4111111111111111", "4929526289707580")):
+        assert luhn(r.text) == luhn(before) and r.text != before
+
+
+def test_decontamination(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items = [(k, " ".join(word() for _ in range(rng.randint(15, 50)))) for k in range(12)] + [(50, None), (51, ""), (52, "tiny")]
+    filler = lambda n: " ".join(word() for _ in range(n))
+
+    def edited(text, share):
+        return " ".join(word() if rng.random() < share else w for w in text.split())
+
+    rows = [(k, f"{filler(200)} {items[k % 12][1]} {filler(100)}") for k in range(24)]
+    rows += [(100 + k, f"{filler(50)}\n{edited(items[k][1], 0.15)}\n{filler(50)}") for k in range(12)]
+    rows += [(200 + k, filler(300)) for k in range(30)] + [(300, None), (301, ""), (302, "x"), (None, items[0][1]), (303, filler(100_000))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs_of(spark, rows), bench).collect()}
+    want = {(k, k % 12) for k in range(24)} | {(100 + k, k) for k in range(12)} | {(None, 0)}
+    assert got == want
+    left = decontamination.remove_contaminated(docs_of(spark, rows), bench)
+    assert {r.doc_id for r in left.select("doc_id").collect()} == {d for d, _ in rows if d is None or d >= 200}
+    assert decontamination.find_contamination(docs_of(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_alignment_against_the_plain_recurrence():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        a, b = rng.integers(1, 5, rng.integers(1, 9)), rng.integers(0, 5, rng.integers(1, 14))
+        h = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                step = h[i, j] + (decontamination.MATCH if a[i] == b[j] else decontamination.MISMATCH)
+                h[i + 1, j + 1] = max(0, step, h[i, j + 1] + decontamination.GAP, h[i + 1, j] + decontamination.GAP)
+        assert decontamination.align(a, b)[0] == h.max()
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{x}</style><script>var a="</p><article>";</script></head><body><nav><li>Menu</nav>
+<!-- <p>no</p> --><div class="ad"><div>Buy</div>now</div><article><h1>Head &amp; shoulders</h1><p>One <b>two</b>
+three&nbsp;four<br>five<p>Short.<form><input>Ask</form><aside>Side</aside><ul><li>a<li>b</ul></article><div id="comments"><p>Bad</p></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_html(spark):
+    assert html_text.main_text(PAGE) == "Head & shoulders\n\nOne two three four five\n\nShort.\n\na\n\nb"
+    plain = "<div>Home</div>".replace("Home", "<a href=x>Home</a>") + "<div><p>" + "long text " * 20 + "</p><p>more</p></div><div><a href=y>next</a></div>"
+    assert html_text.main_text(plain) == ("long text " * 20).strip() + "\n\nmore"
+    rows = [(1, "u", PAGE, "z"), (2, None, None, "z"), (3, "u", "", "z"), (4, "u", "<p>" + "a b " * 50_000, "z"), (4, "u", "<", "z"), (5, "u", "<div class='x", "z")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got)[:4] == [(1, 55), (2, 0), (3, 0), (4, 1)] and all(r.n_chars == len(r.text) for r in got)
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet="<>/pabdiv!- \"'=&;#x\n", max_size=80))
+def test_html_never_fails(text):
+    html_text.main_text(text)
+
+
+def plain_spans(text):
+    found = []
+    for order, (kind, pattern, flags, least, group) in enumerate((("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 12, 2), ("access", "AKIA[A-Z0-9]+", 0, 18, 0), ("hex", "[0-9a-f]+", 0, 16, 0))):
+        found += [(m.start(), order, kind, m.end()) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+SECRET = st.lists(st.sampled_from(["token", "SECRET", "api_key", "password", "=", ": ", " ", '"', "abcdef0123456789", "AKIA", "ABCD1234EFGH5678", "x", "é", "-", "\n"]), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(SECRET)
+def test_base_spans(text):
+    assert [(k, s, e) for s, k, e, _, _ in secrets.base_spans(text)] == plain_spans(text)
+
+
+def test_secrets(spark):
+    own, shared = "Zx9kQ7wTb3LmPq8RsVd2", "Ab1cD2eF3gH4iJ5kL6mN7"
+    rows = [(k, f"key {shared} é token = \"0123456789abcdef0123\"", f"s{k}") for k in range(4)] + [(9, f"my {own} here", "s1"), (10, None, None), (11, "", "s"), (9, "x " * 60_000, "s2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("owners", F.lit(1)).repartition(3)
+    got = secrets.find_secrets(df).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.spans}
+    assert by[9].spans == f"live:3:{3 + len(own)}" and by[9].n_live == 1 and by[9].n_owned == 1
+    assert by[0].n_assign == 1 and by[0].n_hex == 1 and by[0].n_live == 0 and by[0].n_shared == 2
+    empty = next(r for r in got if r.doc_id == 10)
+    assert empty.spans == "" and empty.base_sha256.startswith("e3b0c442")
+    assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+TEXTS = st.text(alphabet=st.sampled_from(list("abcXYZ 0129.,!'’_-\n\t\r\x0b\x1c\x85\xa0  　éßÄñ²½ªKſİЖ中́<|>")), max_size=60)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(TEXTS, min_size=1, max_size=4))
+def test_tokens_are_the_librarys(texts):
+    texts = [*texts, "a<|endoftext|> b<|startoftext|>c", "don't WE'LL 's"]
+    for path, split, state in ((BYTES, token_counts.pieces, "b"), (WORDS, token_counts.words, "w")):
+        encoder = ENCODERS.setdefault(state, token_counts.Encoder(path, tuple, split))
+        for text, parts in zip(texts, encoder.texts(texts)):
+            assert [i for p in parts for i in p] == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+ENCODERS = {}
+
+
+def test_token_counts(spark):
+    got = [(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs_of(spark, EDGE), BYTES).collect()]
+    tokenizer = token_counts.load(BYTES)
+    want = [(d, len((t or "").encode()), n := len(tokenizer.encode(t or "", add_special_tokens=False).ids), n > 512) for d, t in EDGE]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert token_counts.count_tokens(docs_of(spark, EDGE).limit(0), BYTES).count() == 0
+    model = token_counts.count_tokens(docs_of(spark, EDGE[:5]), public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert len(model) == 5 and all(r.n_tokens >= 0 for r in model)
+
+
+def check_packing(rows, docs, capacity=2048):
+    tokenizer = packing.Encoder(WORDS, list, token_counts.words).tokenizer
+    ids = collections.Counter()
+    for d, t in docs:
+        ids[d, len(x := [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]), zlib.crc32(np.asarray(x, "<u4").tobytes())] += 1
+    pieces, windows = collections.defaultdict(int), collections.defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id] += r.length
+        windows[r.sequence_id].append((r.offset, r.length))
+        if r.length == r.doc_tokens:
+            assert ids[r.doc_id, r.doc_tokens, r.ids_crc32]
+    total = collections.Counter()
+    for (d, n, _), k in ids.items():
+        total[d] += n * k
+    assert dict(pieces) == dict(total)
+    for parts in windows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return sum(total.values()) / (capacity * len(windows))
+
+
+def test_packing(spark):
+    rng = random.Random(2)
+    docs = EDGE + [(100 + k, " ".join(rng.choices(["alpha", "beta", "gamma."], k=rng.randint(0, 5000)))) for k in range(120)]
+    fill = check_packing(packing.pack(docs_of(spark, docs).coalesce(1), WORDS).collect(), docs)
+    assert fill > 0.95
+    assert packing.pack(docs_of(spark, docs).limit(0), WORDS).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=80))
+def test_best_fit_against_a_list(lengths):
+    lengths = sorted(lengths, reverse=True)
+    windows, offsets, used = packing.best_fit_decreasing(lengths, 64)
+    rooms, want = [], []
+    for n in lengths:
+        fits = [r for r in rooms if r >= n]
+        want.append(min(fits) if fits else 64)
+        rooms.remove(min(fits)) if fits else None
+        rooms.append(want[-1] - n)
+    assert [64 - o for o in offsets] == want and used == len(rooms) and len(set(windows)) == used
+
+
+def test_top_k_is_exact(spark):
+    rng = np.random.default_rng(3)
+    vectors = [(k, [float(x) for x in rng.normal(size=16) * rng.choice([0.1, 1, 5])]) for k in range(1500)]
+    vectors += [(2000 + k, vectors[0][1]) for k in range(8)] + [(3000, None), (3050, [1.0, None]), (3100, [float("nan")] * 16), (3150, [0.0] * 16), (4000, [1.0, 2.0]), (4001, [3.0, 1.0]), (4050, [])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).repartition(3)
+    got = collections.defaultdict(list)
+    for r in top_k.top_k(df).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    ok = {k: np.floor(256 * np.array(v)).astype(int) for k, v in vectors if v and all(x is not None and np.isfinite(x) for x in v)}
+    for q in (k for k in ok if k % 50 == 0):
+        best = sorted((-int(ok[q] @ v), k) for k, v in ok.items() if k != q and len(v) == len(ok[q]))[:5]
+        assert got[q] == [(n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert top_k.top_k(df.limit(0)).count() == 0
+
+
+def test_top_k_prunes_exactly():
+    rng = np.random.default_rng(9)
+    q, c = rng.integers(-90, 90, (20, 8)).astype(float), rng.integers(-90, 90, (500, 8)).astype(float)
+    c[:20] = q * 2
+    c = c[np.argsort(-(c**2).sum(1))]
+    ids, qids = np.arange(500) + 1000, np.arange(20)
+    scores = q @ c.T
+    floor = np.sort(scores, axis=1)[:, -3]
+    got = dict(top_k.search_block(qids, q, floor, ids, c, float(np.sqrt((c**2).sum(1).max())), 3))
+    for row in range(20):
+        assert got[row] == sorted(((int(s), int(i)) for s, i in zip(scores[row], ids)), key=lambda x: (-x[0], x[1]))[:3]
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    learned = language_id.fit(docs)
+    got = language_id.identify(docs, learned, keep=("lang",)).where("held_out")
+    right, n = got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert right > 0.97 and n > 100
+    edge = {r.doc_id: r for r in language_id.identify(docs_of(spark, [(1, None), (2, ""), (3, "123 !"), (4, "the and of " * 40_000), (None, "the")]), learned).collect()}
+    assert [edge[k].lang_pred for k in (1, 2, 3)] == ["und"] * 3 and edge[4].lang_pred == "en" and not edge[4].rejected
+    assert all(0 <= r.score <= 1 for r in edge.values()) and edge[1].rejected
+    nothing = language_id.fit(docs.where("lang is null"))
+    assert nothing == {} and language_id.identify(docs, nothing).where("lang_pred <> 'und'").count() == 0
+    assert language_id.identify(docs.limit(0), learned).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, kept, SF)
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / name))
+        before, kept = kept.count(), spark.read.parquet(str(tmp_path / name))
+        assert before >= kept.count() > 0.5 * before
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert check_packing(packed, rows) > 0.9 and len(corpus_pipeline.STAGES) == 5
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_run(spark, name):
+    assert queries.QUERIES[name](spark, SF).count() > 0 or name.startswith("op4")
