@@ -12,7 +12,8 @@ allocation is by cost: signatures that nobody shares are free, the others cost t
 counted over the whole corpus, and only the cheapest that are still needed are used. Frequent passages so cost
 nothing, unless a set consists of little else.
 
-Candidates are verified exactly on the texts. To keep large groups of copies linear, equal sets are one node, each
+Candidates are verified exactly on the texts, after an exact test that costs nothing: each set has the parities of its
+members' number in 512 classes of hashes, and two sets differ in at least as many members as parities. To keep large groups of copies linear, equal sets are one node, each
 node is first verified against one hub of each signature (a set most of whose signatures are shared: the original
 that copies were made of), and after contraction only pairs of different components that share an allocated
 signature are left; all of these are verified.
@@ -87,6 +88,16 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+#: 64-bit words of parities.
+PARITIES = [f"p{k}" for k in range(8)]
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """For 512 classes of hashes whether the set has an odd number of members there, as eight 64-bit words."""
+    odd = np.bincount((s >> np.uint64(23)).astype(np.int64) & 511, minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands(most: int = 1 << 24) -> np.ndarray:
     """First sizes of the bands: each is more than 5/4 of the one before."""
     out = [1]
@@ -142,19 +153,17 @@ def entries(s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def nodes(docs: DataFrame) -> DataFrame:
-    """(id, n, node, check) of each row of (id, text); node and check are the halves of the set's digest."""
+    """(id, n, node, check, parities) of each row of (id, text); node and check are the halves of the set's digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
             sets = [shingles(t, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            halves = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*halves, strict=True))] if sets else [pa.array([], pa.int64())] * 4,
-                names=["id", "n", "node", "check"],
-            )
+            rows = np.array([(len(s), *digest(s), *parities(s)) for s in sets], np.int64).reshape(-1, 3 + len(PARITIES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in rows.T.copy())], names=names)
 
-    return docs.mapInArrow(work, "id long, n long, node long, check long")
+    names = ["id", "n", "node", "check", *PARITIES]
+    return docs.mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
 def _emit(buckets: int):
@@ -283,9 +292,15 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.mapInArrow(work, "u long, v long")
 
 
-def _fitting(n: str, other: str) -> F.Column:
-    """Whether two sizes allow Jaccard 4/5."""
-    return F.expr(f"5 * least({n}, {other}) >= 4 * greatest({n}, {other})")
+def _fitting(r: str, s: str) -> F.Column:
+    """Whether sizes and parities allow Jaccard 4/5; the columns of either set end in ``_r`` and ``_s`` or the like."""
+    differ = " + ".join(f"bit_count({p}_{r} ^ {p}_{s})" for p in PARITIES)
+    return F.expr(f"5 * least(n_{r}, n_{s}) >= 4 * greatest(n_{r}, n_{s}) and 9 * ({differ}) <= n_{r} + n_{s}")
+
+
+def _as(known: DataFrame, side: str, *names: str) -> DataFrame:
+    """Columns of the table of sets with ``_side`` behind their names; the node itself is ``node_side``."""
+    return known.select(F.col("node").alias(f"node_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in (*names, *PARITIES)))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +313,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     every = stash(nodes(source), "nodes")
-    sets = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.count(F.lit(1)).alias("n_equal"))
+    sets = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.count(F.lit(1)).alias("n_equal"), *(F.max(p).alias(p) for p in PARITIES))
     known = stash(sets, "sets")
     total = known.agg(F.sum("n").alias("n"), F.count_if(F.col("low") != F.col("high")).alias("odd")).first()
     if total["odd"]:
@@ -328,29 +343,54 @@ def _links(source: DataFrame, known: DataFrame, total: int) -> DataFrame:
     ranked = priced.withColumn("costly", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("price", F.expr("unit % 2"), "unit")))
     ranked = ranked.withColumn("share", F.count_if(F.expr("unit % 2 = 0")).over(own) / F.col("m"))
     chosen = stash(ranked.select("node", "own", "n", "share", F.expr("place <= need - (cap - costly)").alias("used"), F.explode("keys").alias("key")), "chosen")
-    probes = chosen.where("used").select("key", F.col("node").alias("r"), F.col("n").alias("n_r"))
+    probes = chosen.where("used").select("key", F.col("node").alias("r"), F.col("n").alias("n_r"), F.col("share").alias("share_r"))
     index = chosen.where("own = 1").select("key", F.col("node").alias("s"), F.col("n").alias("n_s"), "share")
-    hubs = index.groupBy("key").agg(F.max_by(F.struct("s", "n_s"), F.struct("share", "s")).alias("hub"))
-    first = probes.join(hubs, "key").select("r", "n_r", F.col("hub.s").alias("s"), F.col("hub.n_s").alias("n_s"))
-    ids = known.select("node", "id")
+    index = index.join(probes.select("key").distinct(), "key", "left_semi")
 
     def named(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of nodes with the ids of their texts; the hub is a."""
-        pairs = pairs.where("r <> s").where(_fitting("n_r", "n_s")).select(F.col("s").alias("node_a"), F.col("r").alias("node_b")).distinct()
-        a, b = ids.toDF("node_a", "a"), ids.toDF("node_b", "b")
-        return pairs.join(b, "node_b").join(a, "node_a")
-
-    tried = stash(named(first), "tried")
+        """Distinct pairs (hub s, r) that may link, as nodes a and b with the ids of their texts."""
+        pairs = pairs.where("r <> s").select(F.col("s").alias("node_a"), F.col("r").alias("node_b")).distinct()
+        a, b = _as(known, "a", "id", "n"), _as(known, "b", "id", "n")
+        met = pairs.join(b, "node_b").join(a, (pairs["node_a"] == a["node_a"]) & _fitting("a", "b"))
+        return met.select(pairs["node_a"], "node_b", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+
+    # each prober with its signature's best indexed set, and each indexed set with its signature's best prober
+    hubs = index.groupBy("key").agg(F.max_by(F.struct("s"), F.struct("share", "s")).alias("hub"))
+    askers = probes.groupBy("key").agg(F.max_by(F.struct("r"), F.struct("share_r", "r")).alias("hub"))
+    down = probes.join(hubs, "key").select("r", F.col("hub.s").alias("s"))
+    up = index.join(askers, "key").select(F.col("s").alias("r"), F.col("hub.r").alias("s"))
+    tried = stash(named(down.unionByName(up)), "tried")
     links = stash(_verified(tried, source), "hub-links")
-    parts = stash(components(links), "parts")
-    place = lambda df, node, name: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
-    # what is left: pairs of different components that share an allocated signature
-    spread = place(index.select("key", "s", "n_s"), "s", "c_s")
-    asked = place(probes, "r", "c_r")
-    mixed = spread.select("key", F.col("c_s").alias("c")).unionByName(asked.select("key", F.col("c_r").alias("c"))).groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    left = asked.join(mixed, "key", "left_semi").join(spread.join(mixed, "key", "left_semi"), "key").where("c_r <> c_s")
-    pairs = named(left.select("r", "n_r", "s", "n_s"))
-    rest = stash(pairs.join(tried.select("node_a", "node_b"), ["node_a", "node_b"], "left_anti"), "rest")
+    while True:
+        parts = stash(components(links), "parts")
+        place = lambda df, node, name, parts=parts: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+        # what is left: pairs of different components that share an allocated signature
+        spread, asked = place(index, "s", "c_s"), place(probes, "r", "c_r")
+        members = spread.select("key", F.col("c_s").alias("c"), F.lit(1).alias("i"), F.lit(0).alias("p")).unionByName(asked.select("key", F.col("c_r").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("p")))
+        mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("i").alias("i"), F.sum("p").alias("p")).where("lo <> hi")
+        mixed = stash(mixed.select("key", "i", "p"), "mixed")
+        spread = stash(spread.join(mixed.select("key"), "key", "left_semi"), "spread")
+        asked = stash(asked.join(mixed.select("key"), "key", "left_semi"), "asked")
+        size = mixed.agg(F.sum(F.col("i") * F.col("p")).alias("pairs"), F.sum(F.col("i") + F.col("p")).alias("rows")).first()
+        if (size["pairs"] or 0) <= 8 * (size["rows"] or 0) + 10_000:
+            break
+        # too many pairs to list: contract first, each prober with the best set of another component
+        top = spread.groupBy("key").agg(F.max_by(F.struct("s", "c_s"), F.struct("share", "s")).alias("h1"))
+        rest = spread.join(top, "key").where(F.col("c_s") != F.col("h1.c_s")).groupBy("key").agg(F.max_by(F.struct("s", "c_s"), F.struct("share", "s")).alias("h2"))
+        hub = F.when(F.col("c_r") != F.col("h1.c_s"), F.col("h1")).otherwise(F.col("h2"))
+        more = asked.join(top.join(rest, "key", "left"), "key").withColumn("h", hub).where("h is not null")
+        more = named(more.select("r", F.col("h.s").alias("s")))
+        more = stash(more.join(tried.select("node_a", "node_b"), ["node_a", "node_b"], "left_anti"), "more")
+        found = stash(_verified(more, source), "more-links")
+        tried = tried.unionByName(more)
+        links = links.unionByName(found)
+        if 50 * found.count() < more.count():  # what is left are sets near the threshold: the last step takes them
+            break
+    asked = asked.select("key", "r", "c_r", "n_r").join(_as(known, "r"), F.col("r") == F.col("node_r"))
+    spread = spread.select("key", "s", "c_s", "n_s").join(_as(known, "s"), F.col("s") == F.col("node_s"))
+    met = asked.join(spread, (asked["key"] == spread["key"]) & (F.col("c_r") != F.col("c_s")) & _fitting("r", "s"))
+    rest = named(met.select("r", "s"))
+    rest = stash(rest.join(tried.select("node_a", "node_b"), ["node_a", "node_b"], "left_anti"), "rest")
     if not rest.take(1):
         return links
     return links.unionByName(_verified(rest, source))
