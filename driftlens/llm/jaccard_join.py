@@ -32,16 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import slices, stash
+from driftlens.llm.common import release, slices, stash
 from driftlens.llm.components import components
 
 WORDS = 5
 #: Bands of sets smaller than this also index one-deletion neighbourhoods.
 SMALL = 48
 #: A signature met this often in one flush of a task is dealt out over many buckets.
-HOT = 2048
+HOT = 512
 #: Entries a task holds before it flushes, and about as many that a bucket gets.
-FLUSH, BUCKET = 1_000_000, 1_000_000
+FLUSH, BUCKET = 250_000, 250_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -226,12 +226,16 @@ def _emit(buckets: int):
                     yield flush()
         if held:
             yield flush()
+        hashes.clear()
+        done.clear()
+        release()
 
     return work
 
 
 def _shared(group: pa.Table) -> pa.Table:
     """Reduce side of one bucket: the entries whose signature two sets or more have, with that number."""
+    release()
     keys, metas, own = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("metas", np.uint64), ("nodes", np.int64)))
     hot = (metas >> np.uint64(63)) > 0
     order = np.argsort(keys)
