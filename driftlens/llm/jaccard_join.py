@@ -261,7 +261,7 @@ def _shared(group: pa.Table) -> pa.Table:
     cap = np.asarray([m * (2 if d else 1) for m, d in info], np.int64)[band] if len(band) else band
     whole = np.asarray([m for m, _ in info], np.int64)[band] if len(band) else band
     need = (n + np.minimum(n, BANDS[band + 1] - 1)) // 9 + 1 if len(band) else band
-    cost = np.where(hot, np.maximum(count, HOT), count)
+    cost = np.where(hot, np.maximum(count, 4 * HOT), count)  # one bucket sees a part of them only
     return pa.table({"key": keys.view(np.int64), "node": own, "n": n, "unit": unit, "own": mine, "cost": cost, "cap": cap, "m": whole, "need": need})
 
 
