@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
@@ -30,6 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound is 64 MB for each running task, on both sides.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, jobs move texts between the JVM and Python in batches of ``BATCH`` bytes."""
+    key, value = BATCH
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back with the same schema.
 
@@ -37,7 +57,8 @@ def stash(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftlens-{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    with short_batches(spark):
+        (df.coalesce(partitions) if partitions else df).write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
