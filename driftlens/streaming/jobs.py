@@ -1,9 +1,9 @@
-"""Structured Streaming forms: counts with a watermark, and stateful debounce that still takes late rows."""
+"""Structured Streaming forms: counts with a watermark, sampled traces, and stateful debounce that still takes late rows."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -51,6 +51,21 @@ def debounce_stream(scored: DataFrame, need: int = 2) -> DataFrame:
     )
 
 
+def tail_sample_stream(spans: DataFrame, percent: int, bucket: Column, slow_ms: float = 1000, probe: Column | None = None, wait: str = "15 seconds", delay: str = "15 seconds", ts: str = "ts") -> DataFrame:
+    """Spans of the traces to keep of a stream with a ``trace_id``: as ``operators.traces.tail_sample`` judges them.
+
+    A trace is judged once no span has come for ``wait`` in event time and the watermark of ``delay`` has passed; spans
+    behind the watermark are a trace of their own or dropped. ``bucket`` (0 to 99) is computed from ``trace_id`` alone.
+    """
+    drop = F.lit(False) if probe is None else probe
+    forced = F.coalesce(F.col("forced"), F.lit(False)) if "forced" in spans.columns else F.lit(False)
+    whole = F.struct(*(F.col(c) for c in spans.columns))
+    judged = spans.select(ts, "trace_id", whole.alias("span"), ((F.col("status_code") == "ERROR") | (F.col("duration_ms") > slow_ms) | forced).alias("hit"), drop.alias("probe"))
+    closed = judged.withWatermark(ts, delay).groupBy(F.session_window(ts, wait), "trace_id").agg(F.collect_list("span").alias("spans"), F.bool_or("hit").alias("hit"), F.bool_and("probe").alias("probe"))
+    kept = closed.where(~F.col("probe") & (F.coalesce(F.col("hit"), F.lit(False)) | (bucket < percent)))
+    return kept.select(F.explode("spans").alias("span")).select("span.*")
+
+
 def tail_files(spark, path: str, max_files: int = 1000) -> DataFrame:
     """Lines of the files in a folder as they arrive, with their file; the checkpoint remembers what was read."""
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("path"))
