@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, exact word bounds, then Smith-Waterman alignment.
 
-A first pass over all texts counts in how many documents each word n-gram of the test items occurs. The rarer ones
-of every item are its seeds. A second pass looks up the seeds in every text, opens a window of the text around each
-group of hits, and aligns the item with it, word by word; a copy with changed, added or missing words still scores.
+Every word n-gram of a test item is a seed, however many documents have it: an n-gram may be frequent because the item
+was copied often, and edited copies have no others. What an alignment can reach is bounded exactly first: it needs half
+of the item's words (at the usual share), in a stretch of the text of bounded length. Hits outside such stretches,
+as frequent phrases have them, cost no alignment. Around each group of the others a window of the text is aligned with
+the item, word by word; a copy with changed, added or missing words still scores.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,6 @@ GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Characters of test items that travel to the executors at once; more items make more passes.
 ITEM_CHARS = 16 << 20
-#: An n-gram in at most this many documents is rare in any case.
-ALWAYS_RARE = 8
 
 
 def tokens(text: str) -> list[str]:
@@ -47,6 +46,12 @@ class Index:
         self.places = np.asarray([(k, at) for _, k, at in grams], np.int64).reshape(-1, 2)[order]
         self.codes, self.first = np.unique(codes[order], return_index=True)
         self.last = np.append(self.first[1:], len(order))[: len(self.first)]
+        # each item's distinct words with their numbers, one item after the other
+        own = [np.unique(ids, return_counts=True) for _, ids in self.items]
+        self.edges = np.cumsum([0, *(len(w) for w, _ in own)])
+        self.own = np.concatenate([w for w, _ in own]) if own else np.empty(0, np.int64)
+        self.own_counts = np.concatenate([c for _, c in own]) if own else np.empty(0, np.int64)
+        self.lengths = np.asarray([len(ids) for _, ids in self.items], np.int64)
 
     @staticmethod
     def grams(ids: np.ndarray) -> np.ndarray:
@@ -90,20 +95,32 @@ class Index:
             numbers.append(at[real])
         return (np.concatenate(places), np.concatenate(numbers)) if places else (np.empty(0, np.int64),) * 2
 
-    def seeds(self, counts: dict[int, int]) -> np.ndarray:
-        """Which n-grams are seeds: in each item those not much more frequent than its rarest quarter, so every item
-        keeps some, however often it was copied."""
-        df = np.asarray([counts.get(k, 0) for k in range(len(self.codes))], np.int64)
-        out = np.zeros(len(self.codes), bool)
-        own: dict[int, list[int]] = defaultdict(list)
-        for number, (a, b) in enumerate(zip(self.first, self.last, strict=True)):
-            for k in self.places[a:b, 0]:
-                own[int(k)].append(number)
-        for numbers in own.values():
-            found = df[numbers]
-            limit = max(ALWAYS_RARE, 2 * int(np.quantile(found, 0.25, method="higher")))
-            out[[n for n, d in zip(numbers, found, strict=True) if d <= limit]] = True
-        return out
+    def possible(self, ids: np.ndarray, items: np.ndarray, least: float) -> np.ndarray:
+        """Those of the items of which the text has enough words, counted with repeats, for a score of ``least``."""
+        words, counts = np.unique(ids, return_counts=True)
+        sizes = self.edges[items + 1] - self.edges[items]
+        at = ranges(self.edges[items], sizes)
+        near = np.minimum(np.searchsorted(words, self.own[at]), len(words) - 1)
+        shared = np.where(words[near] == self.own[at], np.minimum(counts[near], self.own_counts[at]), 0)
+        return items[np.add.reduceat(shared, np.cumsum(sizes) - sizes) >= least * self.lengths[items]]
+
+    def dense(self, ids: np.ndarray, k: int, least: float) -> np.ndarray:
+        """For each place in the text whether it lies in a stretch, no longer than an alignment of score ``least`` can
+        be, that has enough words of the item for that score."""
+        m = len(self.items[k][1])
+        # each added word costs a gap, so more of them than this take a full match below the score
+        reach = min(len(ids), m + int((MATCH * m * (1 - least)) // -GAP) + 1)
+        member = np.zeros(len(self.vocabulary) + 1, bool)
+        member[self.own[self.edges[k] : self.edges[k + 1]]] = True
+        run = np.concatenate([[0], np.cumsum(member[ids])])
+        enough = np.flatnonzero(run[reach:] - run[:-reach] >= least * m)
+        step = np.bincount(enough, minlength=len(ids) + 1) - np.bincount(enough + reach, minlength=len(ids) + 1)
+        return np.cumsum(step)[:-1] > 0
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers first[k] to first[k] + sizes[k] - 1 of each k, joined."""
+    return np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -123,16 +140,19 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def contaminated(ids: np.ndarray, index: Index, seeds: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
+def contaminated(ids: np.ndarray, index: Index, least: float) -> list[tuple[int, float, int, int]]:
     """(item, score from 0 to 1, first and last word of the window) of the items that a text holds a copy of."""
     places, numbers = index.hits(ids)
-    keep = seeds[numbers]
-    groups: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for place, number in zip(places[keep].tolist(), numbers[keep].tolist(), strict=True):
-        for k, at in index.places[index.first[number] : index.last[number]].tolist():
-            groups[k].append((place, at))
+    if not len(places):
+        return []
+    sizes = index.last[numbers] - index.first[numbers]
+    owners, ats = index.places[ranges(index.first[numbers], sizes)].T
+    places = np.repeat(places, sizes)
     out = []
-    for k, hits in groups.items():
+    for k in index.possible(ids, np.unique(owners), least).tolist():
+        mine = np.flatnonzero(owners == k)
+        mine = mine[index.dense(ids, k, least)[places[mine]]]
+        hits = zip(places[mine].tolist(), ats[mine].tolist(), strict=True)
         item, words = index.items[k]
         m = len(words)
         slack = m // 2 + 4
@@ -156,8 +176,7 @@ def find_contamination(
 
     ``score`` is the best alignment's share of a full match; pairs from ``least`` on are returned. Null or empty texts
     and items match nothing; repeated rows and repeated items give a pair each; no pair makes no row. The items go to
-    the executors in parts of bounded size, each with its own two passes, so any number of items works; counts are
-    over all documents. No text is shuffled.
+    the executors in parts of bounded size, each with its own pass, so any number of items works. No text is shuffled.
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
@@ -170,23 +189,12 @@ def find_contamination(
         index = Index([(r["item"], r["text"]) for r in own.orderBy("item", "text").collect()])
         shared = spark.sparkContext.broadcast(index)
 
-        def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, sums = shared.value, np.zeros(len(shared.value.codes), np.int64)
-            for batch in slices(batches):
-                for text in batch.column(0).to_pylist():
-                    sums[np.unique(index.hits(index.words(text))[1])] += 1
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at], pa.int64())], names=["gram", "n"])
-
-        counted = source.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds = index.seeds({r["gram"]: r["n"] for r in counted.collect()})  # as many rows as the items have n-grams
-
-        def match(batches: Iterator[pa.RecordBatch], shared=shared, seeds=seeds) -> Iterator[pa.RecordBatch]:
+        def match(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in slices(batches):
                 found = []
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found += [(doc, *x) for x in contaminated(index.words(text), index, seeds, least)]
+                    found += [(doc, *x) for x in contaminated(index.words(text), index, least)]
                 if found:
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["id", "item", "score", "first_word", "last_word"])

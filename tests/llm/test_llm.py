@@ -191,6 +191,38 @@ def test_decontamination(spark):
     assert decontamination.find_contamination(docs_of(spark, rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [20, 1000])
+def test_the_same_edited_copy_often(spark, copies):
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join("x" if k in (7, 15, 23, 31) else w for k, w in enumerate(item))
+    sparse = " ".join("y" if k % 4 == 3 else w for k, w in enumerate(item))  # runs of three words only
+    part = " ".join(item[:26])
+    rows = [(k, f"before {(edited, sparse, part)[k % 3]} after") for k in range(3 * copies)] + [(-1, " ".join(item)), (-2, " ".join(item[:10]) + " z" * 300 + " " + " ".join(item[20:29]))]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "w0 w1 w2 " + "other words " * 20)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.find_contamination(docs_of(spark, rows), bench).collect()}
+    assert got.keys() == {(d, 0) for d, _ in rows if d > -2}
+    assert (got[0, 0], got[1, 0], got[2, 0], got[-1, 0]) == (0.85, 0.6375, 0.65, 1.0)
+
+
+def test_word_bounds_lose_no_alignment():
+    rng = random.Random(8)
+    for _ in range(60):
+        item = [f"w{rng.randrange(12)}" for _ in range(rng.randint(3, 14))]
+        copy = [w for w in item if rng.random() < 0.85 for w in [w] + ["z"] * (rng.random() < 0.3)]
+        text = " ".join([f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 60))] + copy + [f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 60))])
+        index = decontamination.Index([(5, " ".join(item))])
+        ids = index.words(text)
+        places, numbers = index.hits(ids)
+        m, scores = len(item), [0]
+        slack = m // 2 + 4
+        for place, number in zip(places.tolist(), numbers.tolist()):
+            for _, at in index.places[index.first[number] : index.last[number]].tolist():
+                scores.append(decontamination.align(index.items[0][1], ids[max(0, place - at - slack) : place - at + m + slack])[0])
+        found = decontamination.contaminated(ids, index, 0.5)
+        if max(scores) >= m:
+            assert found and found[0][1] >= round(max(scores) / (2 * m), 6)
+
+
 def test_alignment_against_the_plain_recurrence():
     rng = np.random.default_rng(1)
     for _ in range(60):
