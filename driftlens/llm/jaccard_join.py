@@ -10,7 +10,8 @@ Pigeonhole: give each segment of the larger set 0 units (skipped), 1 (parts must
 one shingle). If the units come to H + 1, some segment's parts of any partner differ in less than its units. The
 allocation is by cost: signatures that nobody shares are free, the others cost the number of sets that share them,
 counted over the whole corpus, and only the cheapest that are still needed are used. Frequent passages so cost
-nothing, unless a set consists of little else.
+nothing, unless a set consists of little else. An empty part has no deletions: its signature alone meets all parts of
+no or one shingle, so it counts two units where it is used or unshared, and none where it is shared and not used.
 
 Candidates are verified exactly on the texts, after an exact test that costs nothing: each set has the parities of its
 members' number in 512 classes of hashes, and two sets differ in at least as many members as parities. To keep large groups of copies linear, equal sets are one node, each
@@ -124,7 +125,8 @@ def needed(n: int, band: int) -> int:
 
 
 def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, segment * 2 + is a deletion) of a set in a band's segments."""
+    """(keys, segment * 4 + kind) of a set in a band's segments; kind 1 is a deletion, 0 a whole part, and 2 an empty
+    one where there are deletions."""
     m, deletions = segments(band)
     at = (s % np.uint64(m)).astype(np.int64)
     value = mix(s ^ _M3)
@@ -135,10 +137,11 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
     sums = run[edges[1:]] - run[edges[:-1]]
     place = np.arange(m, dtype=np.uint64) * np.uint64(2 * len(BANDS)) + np.uint64(2 * band)
     keys = mix(sums + mix(place + np.uint64(1)))
-    units = np.arange(m) * 2
+    units = np.arange(m) * 4
     if deletions:
+        units += 2 * (edges[1:] == edges[:-1])
         keys = np.concatenate([keys, mix(sums[at] - value + mix(place[at] + np.uint64(1)))])
-        units = np.concatenate([units, at * 2 + 1])
+        units = np.concatenate([units, at * 4 + 1])
     return keys, units
 
 
@@ -339,14 +342,16 @@ def _links(source: DataFrame, known: DataFrame, total: int) -> DataFrame:
     # allocation: per set and band, the cheapest costly units that are still needed once the free ones are taken
     per = shared.repartition("node")
     units = per.groupBy("node", "own", "unit", "n", "cap", "m", "need").agg(F.sum("cost").alias("cost"), F.collect_list("key").alias("keys"))
-    segment = F.expr("unit div 2")
+    segment = F.expr("unit div 4")
     own = W.partitionBy("node", "own")
     by_segment = W.partitionBy("node", "own", segment)
     priced = units.withColumn("price", F.max(F.when(F.col("unit") % 2 == 0, F.col("cost"))).over(by_segment))
     priced = priced.withColumn("price", F.when(F.col("unit") % 2 == 0, F.col("cost")).otherwise(F.col("cost") + F.coalesce("price", F.lit(0))))
-    ranked = priced.withColumn("costly", F.count(F.lit(1)).over(own)).withColumn("place", F.row_number().over(own.orderBy("price", F.expr("unit % 2"), "unit")))
+    priced = priced.withColumn("worth", F.expr("if(unit % 4 = 2, 2, 1)"))
+    cheapest = own.orderBy(F.col("price") / F.col("worth"), F.expr("unit % 2"), "unit").rowsBetween(W.unboundedPreceding, 0)
+    ranked = priced.withColumn("costly", F.sum("worth").over(own)).withColumn("before", F.sum("worth").over(cheapest) - F.col("worth"))
     ranked = ranked.withColumn("share", F.count_if(F.expr("unit % 2 = 0")).over(own) / F.col("m"))
-    chosen = stash(ranked.select("node", "own", "n", "share", F.expr("place <= need - (cap - costly)").alias("used"), F.explode("keys").alias("key")), "chosen")
+    chosen = stash(ranked.select("node", "own", "n", "share", F.expr("before < need - (cap - costly)").alias("used"), F.explode("keys").alias("key")), "chosen")
     probes = chosen.where("used").select("key", F.col("node").alias("r"), F.col("n").alias("n_r"), F.col("share").alias("share_r"))
     index = chosen.where("own = 1").select("key", F.col("node").alias("s"), F.col("n").alias("n_s"), "share")
     index = index.join(probes.select("key").distinct(), "key", "left_semi")

@@ -83,6 +83,18 @@ def test_hot_signatures_are_dealt_out(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in brute_components(rows).items()}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_empty_parts_lend_no_units(spark, seed):
+    """Small sets, many of which share the signatures of empty parts."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(400):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([9, 9, 9, 10, 13, 18, 22]))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:-1] if k % 3 else words[1:]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs_of(spark, rows)).collect()}
+    assert got == brute_components(rows)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 10**6), st.floats(0, 0.3))
 def test_pigeonhole(n, seed, share):
