@@ -271,32 +271,33 @@ def _shared(group: pa.Table) -> pa.Table:
 ENTRY = "key long, node long, n long, unit long, own long, cost long, cap long, m long, need long"
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (node_a, node_b, text_a, text_b) the nodes whose texts are theirs and have Jaccard 4/5 or more."""
+    hashes, last, s, node = WordHashes(), None, np.empty(0, np.uint64), None
+    for batch in slices(batches, 64):
+        us, vs, ta, tb = (batch.column(k).cast(pa.binary()).to_pylist() if k > 1 else batch.column(k).to_pylist() for k in range(4))
+        keep = []
+        for k in range(len(us)):
+            if ta[k] != last:
+                last, s = ta[k], shingles(ta[k], hashes)
+                node = digest(s)[0] if len(s) else None
+            if node != us[k]:
+                continue  # another row with the same id
+            t = shingles(tb[k], hashes)
+            if not len(t) or digest(t)[0] != vs[k]:
+                continue
+            same = len(s) + len(t) - len(np.union1d(s, t))
+            if 100 * same >= 80 * (len(s) + len(t) - same):
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], pa.int64()) for x in (us, vs)], names=["u", "v"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b, node_a, node_b) whose texts' sets have Jaccard 4/5 or more; a is the hub."""
     other = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     hub = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(other, "b").join(hub, "a").select("node_a", "node_b", "text_a", "text_b")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last, s = WordHashes(), None, np.empty(0, np.uint64)
-        for batch in slices(batches, 64):
-            us, vs, ta, tb = (batch.column(k).cast(pa.binary()).to_pylist() if k > 1 else batch.column(k).to_pylist() for k in range(4))
-            keep = []
-            for k in range(len(us)):
-                if ta[k] != last:
-                    last, s = ta[k], shingles(ta[k], hashes)
-                    real = len(s) and digest(s)[0] == us[k]
-                if not real:
-                    continue
-                t = shingles(tb[k], hashes)
-                if not len(t) or digest(t)[0] != vs[k]:
-                    continue  # another row with the same id
-                same = len(s) + len(t) - len(np.union1d(s, t))
-                if 100 * same >= 80 * (len(s) + len(t) - same):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], pa.int64()) for x in (us, vs)], names=["u", "v"])
-
-    return both.mapInArrow(work, "u long, v long")
+    return both.mapInArrow(_linked, "u long, v long")
 
 
 def _fitting(r: str, s: str) -> F.Column:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,6 +96,16 @@ def test_empty_parts_lend_no_units(spark, seed):
     assert got == brute_components(rows)
 
 
+def test_links_of_one_id_with_several_texts():
+    """Successive rows with one text and different nodes."""
+    node = lambda t: jaccard_join.digest(jaccard_join.shingles(t, jaccard_join.WordHashes()))[0]
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(node(two), node(one), one, one), (node(one), node(one), one, one), (node(two), node(one), one, one)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["node_a", "node_b", "text_a", "text_b"])
+    got = [r for b in jaccard_join._linked(iter([batch])) for r in b.to_pylist()]
+    assert got == [{"u": node(one), "v": node(one)}]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 3000), st.integers(0, 10**6), st.floats(0, 0.3))
 def test_pigeonhole(n, seed, share):
