@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments count as empty. The text lengths are summed over sliding windows of
 lines; the text surges where a window first exceeds a threshold and dives where the windows fall back to nothing.
-What lies between is kept. Where the page marks its article, only lines in it have a length, and any length surges.
+What lies between a surge and its dive is kept; a page may surge several times. Where one article element of the page
+holds half of its text or more, lines outside articles count as empty.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def marked(name: str, attributes: str) -> bool:
     """Whether an element is boilerplate by its name, role, class or id."""
     if name in SKIPPED:
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -50,20 +51,19 @@ def marked(name: str, attributes: str) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, bool, bool, float]], bool]:
-    """The page's blocks as (text, is boilerplate, is in the article, share of text in links); whether it has one."""
-    out: list[tuple[str, bool, bool, float]] = []
+def lines(page: str) -> list[tuple[str, bool, int, float]]:
+    """The page's blocks as (text, is boilerplate, number of its outermost article or 0, share of text in links)."""
+    out: list[tuple[str, bool, int, float]] = []
     held: list[str] = []
-    linked = skip_depth = inside = links = 0
+    linked = skip_depth = inside = links = articles = nested = 0
     skip_name = ""
-    has_article = False
     raw_until = None
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(held)).strip()
         if text or held:
-            out.append((text, bool(skip_depth), bool(inside), linked / max(1, len(text))))
+            out.append((text, bool(skip_depth), articles if inside else 0, linked / max(1, len(text))))
         held.clear()
         linked = 0
 
@@ -105,39 +105,46 @@ def lines(page: str) -> tuple[list[tuple[str, bool, bool, float]], bool]:
             elif name == skip_name and name not in VOID:
                 skip_depth += -1 if closing else 1
                 continue
-            elif closing and name in ("body", "html", "article", "main"):
+            elif name in ("body", "html", "article", "main"):
+                # an end tag whose element began inside belongs there; else an element around the skipped one ends
+                if not closing or nested:
+                    nested += -1 if closing else 1
+                    continue
                 skip_depth = 0
             else:
                 continue
-        if name in ("article", "main"):
+        skips = not closing and marked(name, m[3])
+        if name in ("article", "main") and not skips:
+            articles += not closing and not inside
             inside = max(0, inside + (-1 if closing else 1))
-            has_article |= not closing
-        elif not closing and name not in VOID and not m[0].endswith("/>") and marked(name, m[3]):
+        elif skips and name not in VOID and not m[0].endswith("/>"):
             if name not in BLOCKS and name not in SKIPPED:
                 flush()
-            skip_depth, skip_name = 1, name
+            skip_depth, skip_name, nested = 1, name, 0
     flush()
-    return out, has_article
+    return out
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, joined by two line feeds; empty where the page has none."""
     if not page:
         return ""
-    found, has_article = lines(page)
-    if has_article:
-        sizes = [len(t) if ok and not skip else 0 for t, skip, ok, _ in found]
-        threshold = 1
-    else:
-        sizes = [0 if skip or share > 0.6 else len(t) for t, skip, _, share in found]
-        threshold = min(SURGE, max(sizes, default=0))
-    sums = [sum(sizes[k : k + WINDOW]) for k in range(len(sizes))]
-    surges = [k for k, s in enumerate(sums) if s >= max(1, threshold)]
-    if not surges:
-        return ""
-    first = surges[0]
-    last = max(k for k in range(len(sums)) if sums[k]) + WINDOW
-    return "\n\n".join(t for (t, *_), n in zip(found[first:last], sizes[first:last], strict=True) if n)
+    found = [line for line in lines(page) if line[0]]
+    sizes = [0 if skip or share > 0.6 else len(t) for t, skip, _, share in found]
+    held: dict[int, int] = {}
+    for (_, skip, article, _), n in zip(found, sizes, strict=True):
+        if article and not skip:
+            held[article] = held.get(article, 0) + n
+    if held and 2 * max(held.values()) >= sum(sizes):
+        sizes = [len(t) if article and not skip else 0 for t, skip, article, _ in found]
+    threshold = max(1, min(SURGE, max(sizes, default=0)))
+    kept, surged = [], False
+    for k, ((text, *_), n) in enumerate(zip(found, sizes, strict=True)):
+        block = sum(sizes[k : k + WINDOW])
+        surged = block > 0 and (surged or block >= threshold)
+        if surged and n:
+            kept.append(text)
+    return "\n\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

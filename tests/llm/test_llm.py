@@ -273,6 +273,20 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_the_text_locates_the_main_region():
+    main = [f"Sentence {k} of the main text, which is long enough to surge by itself, as it should." for k in range(6)]
+    blocks = "".join(f"<div>{t}</div>" for t in main)
+    whole = "\n\n".join(main)
+    card = "<article><p>A teaser.</p></article>"
+    assert html_text.main_text(card + blocks).endswith(whole)
+    assert html_text.main_text(f"<div class=related>{card}More teasers</div>{blocks}") == whole  # the skip outlasts the card
+    assert html_text.main_text(f"<article class='promo'>{'Buy this now. ' * 60}</article>{blocks}") == whole
+    assert html_text.main_text(f"<article>{blocks}<aside>unclosed</article><p>Outside") == whole
+    links = "".join(f"<div><a href=x>Link {k}</a></div>" for k in range(4))
+    assert html_text.main_text(f"<div>Top</div>{links}{blocks}{links}<div>Imprint</div>") == whole
+    assert html_text.main_text(f"<article>{blocks}{links}</article>") == whole + "".join(f"\n\nLink {k}" for k in range(4))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/pabdiv!- \"'=&;#x\n", max_size=80))
 def test_html_never_fails(text):
