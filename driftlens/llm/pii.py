@@ -6,7 +6,9 @@ endings that carry a name's gender stay. A two-half Feistel network F gives the
 F⁻¹(s(F(x))), where s moves the first character on by one. As this is a bijection without fixed points on each
 format, distinct entities get distinct surrogates and none keeps its value, in the whole corpus, with no table of
 entities, no shuffle and no collision to mend; one entity gets one surrogate wherever it stands, whatever its case
-or separators. The check columns count both sides in each row.
+or separators. Each word of a name is permuted on its own. Names are found after titles; where a text has such a name,
+its other mentions there, the full name or the surname without a title, get the same surrogate. The check columns
+count both sides in each row.
 """
 
 from __future__ import annotations
@@ -135,6 +137,33 @@ def kind_of(found: Column) -> Column:
     return out
 
 
+def _name(words: Column, key: str) -> Column:
+    """Each word permuted on its own; its last letter, which often tells the gender, and an ``'s`` behind it stay."""
+    ends = r"^(.+?)(.['’]s|.['’]?-*)$"
+
+    def word(w: Column) -> Column:
+        return _once(F.struct(F.regexp_extract(w, ends, 1).alias("form"), F.regexp_extract(w, ends, 2).alias("back")), filled)
+
+    def filled(v: Column) -> Column:
+        core = F.regexp_replace(v["form"], r"[^\p{L}\p{N}]", "")
+        return F.concat(_refilled(v["form"], F.lit(r"[\p{L}\p{N}]"), permuted(core, key, F.lit("name"))), v["back"])
+
+    return F.array_join(F.transform(F.split(words, " "), word), " ")
+
+
+def other_mentions(found: Column) -> Column:
+    """A pattern of the full names and surnames among the matches, without titles, as written or in capitals; null
+    where there is no name."""
+    names = F.filter(found, lambda m: F.rlike(m, F.lit(f"^{PATTERNS['name']}$")))
+    bare = F.transform(names, lambda m: F.regexp_replace(m, rf"^(?:{_TITLE})\.? |['’]s$|['’-]+$", ""))
+    both = F.array_distinct(F.concat(bare, F.transform(bare, lambda m: F.substring_index(m, " ", -1))))
+    both = F.array_distinct(F.concat(both, F.transform(both, lambda m: F.upper(m))))
+    # longer ones first: a full name before its surname; names are letters, apostrophes and hyphens only
+    sized = F.reverse(F.array_sort(F.transform(both, lambda m: F.struct(F.length(m).alias("n"), m.alias("m")))))
+    some = F.array_join(F.transform(F.filter(sized, lambda x: x["n"] > 1), lambda x: x["m"]), "|")
+    return F.when(F.size(names) > 0, F.concat(F.lit(r"(?<!\p{L})(?:"), some, F.lit(r")(?!\p{L})")))
+
+
 def surrogate(found: Column, key: str) -> Column:
     """The replacement of one match: what stays in front and behind by its kind, and the permuted rest."""
     n = F.length(found)
@@ -142,23 +171,21 @@ def surrogate(found: Column, key: str) -> Column:
     title = F.regexp_extract(found, rf"^((?:{_TITLE})\.? )", 1)
 
     def whole(kind: Column) -> Column:
-        front = F.when(kind == "phone", code).when(kind == "name", title).when(kind == "iban", F.substring(found, 1, 2)).otherwise("")
-        # an address keeps its last domain label, a name its last letter, a card its check digit for now
-        back = F.when(kind == "email", F.concat(F.lit("."), F.substring_index(found, ".", -1))).when(kind.isin("name", "card"), _char(found, n)).otherwise("")
+        front = F.when(kind == "phone", code).when(kind == "iban", F.substring(found, 1, 2)).otherwise("")
+        # an address keeps its last domain label, a card its check digit for now
+        back = F.when(kind == "email", F.concat(F.lit("."), F.substring_index(found, ".", -1))).when(kind == "card", _char(found, n)).otherwise("")
         return _once(F.struct(kind.alias("kind"), front.alias("front"), back.alias("back")), filled)
 
     def filled(v: Column) -> Column:
         form = F.substring(found, F.length(v["front"]) + 1, n - F.length(v["front"]) - F.length(v["back"]))
-        # letters and digits move; of names not the last letter of each, which often tells the gender
-        places = F.when(v["kind"] == "name", r"[\p{L}\p{N}](?! )").otherwise(r"[\p{L}\p{N}]")
-        others = F.when(v["kind"] == "name", r"[^\p{L}\p{N}]|[\p{L}\p{N}](?= )").otherwise(r"[^\p{L}\p{N}]")
-        core = F.regexp_replace(form, others, F.lit(""))
+        core = F.regexp_replace(form, r"[^\p{L}\p{N}]", "")
         new = F.struct(core.alias("old"), permuted(core, key, v["kind"]).alias("new"))
         check = lambda x: F.pmod(v["back"].cast("int") + _luhn(x["new"]) - _luhn(x["old"]), F.lit(10)).cast("string")
-        return _once(new, lambda x: F.concat(v["front"], _refilled(form, places, x["new"]), F.when(v["kind"] == "card", check(x)).otherwise(v["back"])))
+        return _once(new, lambda x: F.concat(v["front"], _refilled(form, F.lit(r"[\p{L}\p{N}]"), x["new"]), F.when(v["kind"] == "card", check(x)).otherwise(v["back"])))
 
     kind = kind_of(found)
-    return _once(kind, lambda k: F.when(k == "ip", _ip(found, key)).otherwise(whole(k)))
+    named = F.concat(title, _name(F.substring(found, F.length(title) + 1, n), key))
+    return _once(kind, lambda k: F.when(k == "ip", _ip(found, key)).when(k == "name", named).otherwise(whole(k)))
 
 
 def replace_pii(
@@ -166,7 +193,8 @@ def replace_pii(
 ) -> DataFrame:
     """Per row: id, the text with surrogates, n_entities, n_distinct, n_surrogates, and the columns in ``keep``.
 
-    ``n_distinct`` and ``n_surrogates`` count distinct entities and distinct surrogates of the row and are equal.
+    ``n_distinct`` and ``n_surrogates`` count distinct entities and distinct surrogates of the row, names by what
+    stands behind the title, and are equal. Other mentions of a name count as entities.
     Null texts stay null with counts 0; texts without entities stay as they are; texts of any length are read whole.
     Repeated rows are treated each; a column in ``keep`` may have any name. No shuffle: one projection of the scan.
     """
@@ -178,12 +206,15 @@ def replace_pii(
     hinted = reduce(lambda a, t: a | F.contains(text, F.lit(t)), titles, F.contains(text, F.lit("@")) | F.rlike(text, F.lit(NUMERIC)))
     hinted = F.coalesce(hinted, F.lit(False))
     found = named.withColumn("__m", F.when(hinted, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(none))
+    found = found.withColumn("__p", F.when(F.size("__m") > 0, F.concat(F.lit(f"{ANY}|"), other_mentions(F.col("__m")))))
+    found = found.withColumn("__m", F.when(F.col("__p").isNotNull(), F.regexp_extract_all(text, F.col("__p"), F.lit(0))).otherwise(F.col("__m")))
     made = found.withColumn("__s", F.transform("__m", lambda m: surrogate(m, key)))
-    parts = F.split(F.when(F.size("__m") > 0, text), ANY, -1)
+    parts = F.when(F.col("__p").isNotNull(), F.split(text, F.col("__p"), -1)).otherwise(F.split(F.when(F.size("__m") > 0, text), ANY, -1))
     joined = F.array_join(F.transform(parts, lambda p, k: F.concat(p, F.coalesce(F.try_element_at(F.col("__s"), k + 1), F.lit("")))), "")
+    entity = lambda m: F.lower(F.regexp_replace(m, rf"^(?:{_TITLE})\.? ", ""))
     return made.select(
         F.col("__id").alias(id_col), F.when(F.size("__m") > 0, joined).otherwise(text).alias(text_col),
-        F.size("__m").cast("long").alias("n_entities"), F.size(F.array_distinct(F.transform("__m", lambda m: F.lower(m)))).cast("long").alias("n_distinct"),
-        F.size(F.array_distinct(F.transform("__s", lambda m: F.lower(m)))).cast("long").alias("n_surrogates"),
+        F.size("__m").cast("long").alias("n_entities"), F.size(F.array_distinct(F.transform("__m", entity))).cast("long").alias("n_distinct"),
+        F.size(F.array_distinct(F.transform("__s", entity))).cast("long").alias("n_surrogates"),
         *(F.col(f"__k{k}").alias(c) for k, c in enumerate(keep)),
     )

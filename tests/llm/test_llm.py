@@ -173,6 +173,18 @@ def test_pii_surrogates(spark):
     assert pii.replace_pii(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_other_mentions_of_a_name(spark):
+    rows = [(1, "Miller came. Mrs Anna Miller met Mr. John Smith. Anna Miller's friend, Mr Smith, left; MILLER and Smith-Jones, Millerton."), (2, "Miller and Anna Miller"), (3, "Dr O'Neill's and O'Neill, Г-жа Анна Петрова, Петрова")]
+    got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, rows)).collect()}
+    m = re.fullmatch(r"(\w+) came\. Mrs (\w+) (\w+) met Mr\. (\w+) (\w+)\. (\w+) (\w+)'s friend, Mr (\w+), left; (\w+) and (\w+)-Jones, Millerton\.", got[1].text)
+    assert m[1] == m[3] == m[7] == m[9].capitalize() != "Miller" and m[9].isupper() and m[2] == m[6] != "Anna"
+    assert m[5] == m[8] == m[10] != "Smith" and m[4] != "John"
+    assert (got[1].n_entities, got[1].n_distinct, got[1].n_surrogates) == (7, 4, 4)
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    m = re.fullmatch(r"Dr (\S+)'s and (\S+), Г-жа (\w+) (\w+), (\w+)", got[3].text)
+    assert m[1] == m[2] != "O'Neill" and m[4] == m[5] != "Петрова" and got[3].n_distinct == got[3].n_surrogates
+
+
 def test_pii_is_a_bijection_and_native(spark):
     n = 3000
     df = spark.range(n).select(F.col("id").alias("doc_id"), F.format_string("a%04d@x.org 4%015d 10.0.%d.%d", "id", "id", F.floor(F.col("id") / 256), F.col("id") % 256).alias("text"))
