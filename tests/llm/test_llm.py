@@ -449,6 +449,19 @@ def test_language_id(spark):
     assert language_id.identify(docs.limit(0), learned).count() == 0
 
 
+def test_language_samples_are_not_the_opening_of_texts(spark):
+    rng = random.Random(3)
+    head = "this licence opens every text of the source and says nothing more about its language than other openings do "
+    word = lambda cs: "".join(rng.choices(cs, k=6))
+    rows = [(k, head + " ".join(word("abcdefgh") for _ in range(600)), "en") for k in range(500)]
+    rows += [(1000 + k, " ".join(word("абвгдежз") for _ in range(600)), "ru") for k in range(500)]
+    learned = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert learned["en"].count(b"licence") < 20 and max(map(len, learned.values())) <= 1 << 15
+    wide = learned["ru"].decode(errors="ignore")
+    held = [t for k, t, lang in rows if lang == "ru" and any(t[a : a + 20] in wide for a in range(len(t) - 20))]
+    assert len(held) > 300
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = docs
