@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base patterns find assignments, access keys and hexadecimal strings in whole texts. The method then aggregates the
-hashes of all candidates over the corpus by distinct owners and documents: a value that several owners have is a
-widely copied example, one that a single owner has looks live. Candidates of the method's own, mixed tokens that no
-base pattern covers, become spans of kind ``live`` only where their value belongs to a single owner.
+hashes of all candidates over the corpus by distinct owners and documents: a value that several owners or very many
+documents have is a widely copied example, one that a single owner has in few looks live. Candidates of the method's
+own, mixed tokens that no base pattern covers, become spans of kind ``live`` only where no second owner is known and
+the documents are few. A null owner is unknown: such a document tells nothing of owners, but counts as a document.
 """
 
 from __future__ import annotations
@@ -85,38 +86,42 @@ def scan(docs: DataFrame, owner_col: str | None = "source", id_col: str = "doc_i
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Per value hash: distinct owners and rows, in two partial aggregations, so a value in a third of all rows is
-    summed before it is shuffled."""
-    each = found.select("row", "owner", F.explode("found").alias("s")).select("owner", F.col("s.hash").alias("hash"))
+    """Per value hash: distinct owners, rows, and rows with unknown owner, in two partial aggregations, so a value in a
+    third of all rows is summed before it is shuffled."""
+    hashes = F.array_distinct(F.transform("found", lambda s: s["hash"]))
+    each = found.select("owner", F.explode(hashes).alias("hash"))
     by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("n").alias("uses"))
+    unknown = F.sum(F.when(F.col("owner").isNull(), F.col("n")).otherwise(0))
+    return by_owner.groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("n").alias("uses"), unknown.alias("unknown"))
 
 
 def find_secrets(
     docs: DataFrame,
     owner_col: str | None = "source",
     shared_owners: int = 3,
+    shared_rows: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Per row: id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_shared, n_owned.
 
-    ``spans`` holds base spans and the method's. ``n_owned`` counts spans whose value one owner has, ``n_shared``
-    those of ``shared_owners`` or more, ``n_live`` the method's own. A null or empty text has no spans: its hash is
+    ``spans`` holds base spans and the method's. ``n_owned`` counts spans whose value one known owner has in
+    fewer than ``shared_rows`` rows and no row of an unknown owner; ``n_shared`` those of ``shared_owners`` owners or
+    ``shared_rows`` rows and more, ``n_live`` the method's own. A null or empty text has no spans: its hash is
     that of the empty string. Repeated rows and repeated ids are judged each; ties in ``start`` go by kind.
     """
     found = stash(scan(docs, owner_col, id_col, text_col), "secrets")
     spans = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).select("row", "s.*")
     known = spans.join(ownership(found), "hash").select(
-        "row", "start", "kind", "end", "owners",
+        "row", "start", "kind", "end", "owners", "unknown", (F.col("uses") >= shared_rows).alias("many"),
         F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3).alias("rank"),
     )
-    kept = known.where((F.col("kind") != "live") | (F.col("owners") <= 1))
+    kept = known.where((F.col("kind") != "live") | (F.col("owners") <= 1) & ~F.col("many"))
     each = kept.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("all"),
         F.count_if(F.col("kind") == "live").alias("n_live"),
-        F.count_if(F.col("owners") >= shared_owners).alias("n_shared"),
-        F.count_if(F.col("owners") <= 1).alias("n_owned"),
+        F.count_if((F.col("owners") >= shared_owners) | F.col("many")).alias("n_shared"),
+        F.count_if((F.col("owners") == 1) & (F.col("unknown") == 0) & ~F.col("many")).alias("n_owned"),
     )
 
     def joined(spans_col) -> F.Column:

@@ -335,6 +335,16 @@ def test_secrets(spark):
     assert secrets.find_secrets(df.limit(0)).count() == 0
 
 
+def test_secrets_of_unknown_or_hot_owners(spark):
+    null, hot, lone, mixed = "Zx9kQ7wTb3LmPq8RsVd2", "Ab1cD2eF3gH4iJ5kL6mN7", "Qw8eR7tY6uI5oP4aS3dF2", "Mn3bV4cX5zL6kJ7hG8fD9"
+    rows = [(k, f"key {null}", None) for k in range(60)] + [(100 + k, f"key {hot}", "s") for k in range(60)]
+    rows += [(200, f"key {lone} {lone}", "s"), (300, f"key {mixed}", "s"), (301, f"key {mixed}", None)]
+    by = {r.doc_id: (r.n_live, r.n_shared, r.n_owned) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert by[0] == by[100] == (0, 0, 0) and by[200] == (2, 0, 2) and by[300] == by[301] == (1, 0, 0)
+    base = [(k, "token = abcdefghijkl", "s") for k in range(60)]
+    assert {(r.n_shared, r.n_owned) for r in secrets.find_secrets(spark.createDataFrame(base, "doc_id long, text string, source string")).collect()} == {(1, 0)}
+
+
 TEXTS = st.text(alphabet=st.sampled_from(list("abcXYZ 0129.,!'’_-\n\t\r\x0b\x1c\x85\xa0  　éßÄñ²½ªKſİЖ中́<|>")), max_size=60)
 
 
