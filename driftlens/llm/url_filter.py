@@ -163,10 +163,10 @@ def fit(pages: DataFrame, rules=RULES, sample: int = 2000, url_col: str = "url")
     host, path = parts(F.col("url"))
     labelled = pages.select(pages[url_col].cast("string").alias("url")).where(F.col("url").isNotNull()).select("url", host.alias("host"), path.alias("path"))
     labelled = labelled.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules)).where(F.col("rule").isNotNull())
-    picked = labelled.withColumn("mix", F.xxhash64("url")).orderBy("mix", "url").limit(2 * sample)
+    picked = labelled.dropDuplicates(["url"]).withColumn("mix", F.xxhash64("url"))
     names = FEATURES[:-2]
     values = features(F.col("url"), F.col("host"), F.col("path"))
-    rows = picked.dropDuplicates(["url"]).orderBy("mix", "url").limit(sample).select(
+    rows = picked.orderBy("mix", "url").limit(sample).select(
         "url", "rule", suffix(F.col("host")).alias("suffix"), section(F.col("path")).alias("section"), *(values[n].alias(n) for n in names)
     ).collect()
     verdicts = dict(rules)

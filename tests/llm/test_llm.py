@@ -153,6 +153,14 @@ def test_url_trees_learn(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+def test_a_hot_url_leaves_room_for_others(spark):
+    rules = (("spam.xyz/", "block"), ("news.xyz/", "allow"))
+    urls = [f"http://h{k % 9}.{'spam' if k % 2 else 'news'}.xyz/{'a1b2c3d4' * (k % 2)}/{k}" for k in range(200)]
+    hot = spark.createDataFrame([(u,) for u in urls], "url string").orderBy(F.xxhash64("url")).first()["url"]
+    pages = spark.createDataFrame(list(enumerate([*urls, *[hot] * 500])), "page_id long, url string")
+    assert len(url_filter.fit(pages, rules, sample=100).trees) == 24
+
+
 PRIVATE = "Ann.Lee42@mail7.example.com, ann.lee42@MAIL7.example.com; +1 (599) 555-3756 or 4929526289707589 at 187.87.99.220; Frau Anna Schmidt, Mr. Lee; 123-45-6789 DE89 3704 0044 0532 0130 00"
 
 
