@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftlens.llm.common import slices
-from driftlens.llm.token_counts import Encoder, words
+from driftlens.llm.token_counts import encoder
 
 
 class OpenWindows:
@@ -90,7 +90,7 @@ def pack(
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, lambda ids: np.asarray(ids, "<u4").tobytes(), words)
+        own = encoder(tokenizer, "bytes")
         end = np.asarray([end_id], "<u4").tobytes()
         base, step, held = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33, 0, []
 
@@ -108,8 +108,8 @@ def pack(
 
         for batch in slices(batches, 128):
             rows = batch.column(0).to_pylist()
-            for doc, parts in zip(rows, encoder.texts([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids = b"".join(parts) + end
+            for doc, ids in zip(rows, own.texts([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     piece = ids[4 * start : 4 * (start + capacity)]
