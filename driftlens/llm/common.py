@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, and Spark runs in this
+    process alone, a temporary one; on a cluster that would be another folder on each machine, so it is an error."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -26,11 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     known = context._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="driftlens-")
-    context.setCheckpointDir(own)
-    return own
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="driftlens-")
+    return _OWN[context.applicationId]
 
 
+#: Temporary folders of local sessions, by application.
+_OWN: dict[str, str] = {}
+
 #: Bytes of an Arrow batch between the JVM and Python; Spark's own bound is 64 MB for each running task, on both sides.
 BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
@@ -53,16 +60,28 @@ def short_batches(spark: SparkSession) -> Iterator[None]:
 def stash(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back with the same schema.
 
-    A lost executor then costs a re-read only. The files go when the application ends.
+    A lost executor then costs a re-read only. The files go with ``discard``, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftlens-{name}-{uuid.uuid4().hex}"
     with short_batches(spark):
         (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    folder, system = _hadoop(spark, path)
+    system.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._driftlens_path = path
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing reads any more; its own DataFrame must be given."""
+    folder, system = _hadoop(df.sparkSession, df._driftlens_path)
+    system.delete(folder, True)
 
 
 def release() -> None:

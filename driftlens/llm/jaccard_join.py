@@ -1,7 +1,7 @@
 """Exact Jaccard self-join of documents on word shingles, by universe partition.
 
 A document is the set of its distinct 5-word shingles, hashed to 64 bits. Two sets r and s with Jaccard 4/5 or more
-differ in at most H = (|r| + |s|) / 9 shingles. Sizes are cut into bands that grow by a quarter, so a set's partners
+differ in at most H = (|r| + |s|) / 9 shingles. Sizes are cut into bands that grow by a half, so a set's partners
 that are no larger lie in its own band or the one below. Each band splits the universe of hashes into m segments. A
 set's part in a segment has a signature, the sum of its mixed hashes, and in bands of small sets also the signatures
 of its one-deletion neighbourhood, which are that sum less one member.
@@ -14,10 +14,13 @@ nothing, unless a set consists of little else. An empty part has no deletions: i
 no or one shingle, so it counts two units where it is used or unshared, and none where it is shared and not used.
 
 Candidates are verified exactly on the texts, after an exact test that costs nothing: each set has the parities of its
-members' number in 512 classes of hashes, and two sets differ in at least as many members as parities. To keep large groups of copies linear, equal sets are one node, each
-node is first verified against one hub of each signature (a set most of whose signatures are shared: the original
-that copies were made of), and after contraction only pairs of different components that share an allocated
-signature are left; all of these are verified.
+members' number in 512 classes of hashes, and two sets differ in at least as many members as parities. Only texts of
+candidates are shuffled: a bitmap of fixed size, over hashes of their ids, filters the scan. To keep large groups of
+copies linear, equal sets are one node, each node is first verified against one hub of each signature (a set most of
+whose signatures are shared: the original that copies were made of), and after contraction only pairs of different
+components that share an allocated signature are left; all of these are verified.
+
+A set's node is 64 bits of a digest; sets that share these are told apart by another 64 and take those as their node.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import release, slices, stash
+from driftlens.llm.common import discard, release, slices, stash
 from driftlens.llm.components import components
 
 WORDS = 5
@@ -43,6 +46,13 @@ SMALL = 48
 HOT = 512
 #: Entries a task holds before it flushes, and about as many that a bucket gets.
 FLUSH, BUCKET = 250_000, 250_000
+#: Bits of the filter of candidates' ids (4 MB), and of one row of it.
+FILTER, FILTER_ROW = 1 << 25, 1 << 15
+#: An entry is 64 bits: 36 of the key, which with the bucket's number are its identity, 25 of the unit, three flags.
+KEY_BITS = np.uint64(28)
+OWN, DEALT, STAND_IN = (np.uint64(x) for x in (4, 2, 1))
+#: Sets whose first halves of digests are shared, at most; 10**11 sets have some hundreds.
+SHARED_HALVES = 10_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -83,10 +93,17 @@ def shingles(text: str | bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(out))
 
 
-def digest(s: np.ndarray) -> tuple[int, int]:
-    """Two signed 64-bit halves of a digest of the set."""
+def digest(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two signed 64-bit halves of a digest of the set; of the first so many bits only."""
     d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+    first = int.from_bytes(d[:8], "little", signed=True)
+    return first if bits == 64 else first & ((1 << bits) - 1), int.from_bytes(d[8:], "little", signed=True)
+
+
+def named(s: np.ndarray, bits: int, shared: frozenset[int]) -> int:
+    """The set's node: the first half of its digest, or the second where the first is shared."""
+    first, second = digest(s, bits)
+    return second if first in shared else first
 
 
 #: 64-bit words of parities.
@@ -100,10 +117,10 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def bands(most: int = 1 << 24) -> np.ndarray:
-    """First sizes of the bands: each is more than 5/4 of the one before."""
+    """First sizes of the bands: each is about 3/2 of the one before, and more than 5/4."""
     out = [1]
     while out[-1] <= most:
-        out.append(out[-1] * 5 // 4 + 1)
+        out.append(out[-1] * 3 // 2 + 1)
     return np.asarray(out, np.int64)
 
 
@@ -146,30 +163,60 @@ def signatures(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def entries(s: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(keys, meta) of a set in its own band and as a prober of the band below; meta packs size, unit and ownness."""
+    """(keys, unit and flags) of a set in its own band and as a prober of the band below."""
     n = len(s)
     band = int(np.searchsorted(BANDS, n, side="right")) - 1
-    for b, own in ((band, 1), (band - 1, 0)):
+    for b, own in ((band, OWN), (band - 1, np.uint64(0))):
         if b >= 0 and (own or -(-4 * n // 5) < BANDS[b + 1]):
             keys, units = signatures(s, b)
-            yield keys, (np.uint64(n) << np.uint64(32)) | (units.astype(np.uint64) << np.uint64(1)) | np.uint64(own)
+            yield keys, (units.astype(np.uint64) << np.uint64(3)) | own
 
 
-def nodes(docs: DataFrame) -> DataFrame:
+def nodes(docs: DataFrame, bits: int = 64) -> DataFrame:
     """(id, n, node, check, parities) of each row of (id, text); node and check are the halves of the set's digest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
             sets = [shingles(t, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            rows = np.array([(len(s), *digest(s), *parities(s)) for s in sets], np.int64).reshape(-1, 3 + len(PARITIES))
+            rows = np.array([(len(s), *digest(s, bits), *parities(s)) for s in sets], np.int64).reshape(-1, 3 + len(PARITIES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in rows.T.copy())], names=names)
 
     names = ["id", "n", "node", "check", *PARITIES]
     return docs.mapInArrow(work, ", ".join(f"{c} long" for c in names))
 
 
-def _emit(buckets: int):
+ROW = "bucket int, home int, entries binary, nodes binary"
+
+
+def _flushed(keys: np.ndarray, marks: np.ndarray, own: np.ndarray, buckets: int, hot: int, salt: int) -> pa.RecordBatch:
+    """Entries as one binary row for each bucket. Keys that stand here more than ``hot`` times are dealt out over many
+    buckets, with the number of their own; one stand-in stays there, where other tasks' entries then see it."""
+    home = ((keys & ((np.uint64(1) << KEY_BITS) - np.uint64(1))) % np.uint64(buckets)).astype(np.int64)
+    bucket = home.copy()
+    some, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    many = count > hot
+    if many.any():
+        at = np.flatnonzero(many[back])
+        order = at[np.argsort(back[at], kind="stable")]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(back[order])) + 1])
+        rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        turn = np.uint64(salt) + (rank // hot).astype(np.uint64) * np.uint64(1_000_003)
+        bucket[order] = (mix(keys[order] + turn) % np.uint64(buckets)).astype(np.int64)
+        marks[order] |= DEALT
+        first = order[starts]
+        keys, own = np.concatenate([keys, keys[first]]), np.concatenate([own, np.zeros(len(first), np.int64)])
+        marks = np.concatenate([marks, np.full(len(first), STAND_IN, np.uint64)])
+        home, bucket = np.concatenate([home, home[first]]), np.concatenate([bucket, home[first]])
+    packed = (keys >> KEY_BITS << KEY_BITS) | marks
+    order = np.lexsort((home, bucket))
+    cut = np.flatnonzero(np.diff(bucket[order]) | np.diff(home[order])) + 1
+    parts = np.split(order, cut)
+    ends = [pa.array([int(x[p[0]]) for p in parts], pa.int32()) for x in (bucket, home)]
+    return pa.RecordBatch.from_arrays([*ends, *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (packed, own))], names=["bucket", "home", "entries", "nodes"])
+
+
+def _emit(buckets: int, hot: int = HOT, bits: int = 64, shared: frozenset[int] = frozenset()):
     """Map side: all entries of a task's distinct sets, as one binary row for each bucket and flush."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,50 +227,23 @@ def _emit(buckets: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal size, flushes
-            keys, metas, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, marks, own = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            size = 0
-            flushes += 1
-            bucket = ((keys >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
-            # dealing out signatures that this task alone has met very often
-            some, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-            hot = count > HOT
-            if hot.any():
-                at = np.flatnonzero(hot[back])
-                order = at[np.argsort(back[at], kind="stable")]
-                starts = np.concatenate([[0], np.flatnonzero(np.diff(back[order])) + 1])
-                rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-                salt = np.uint64(task * 1000 + flushes) + (rank // HOT).astype(np.uint64) * np.uint64(1_000_003)
-                bucket[order] = (mix(keys[order] + salt) % np.uint64(buckets)).astype(np.int64)
-                metas[order] |= np.uint64(1 << 63)
-                # one stand-in stays in the signature's own bucket, where other tasks' entries then see it
-                first = order[starts]
-                keys, own = np.concatenate([keys, keys[first]]), np.concatenate([own, np.zeros(len(first), np.int64)])
-                metas = np.concatenate([metas, np.full(len(first), 1 << 62, np.uint64)])
-                bucket = np.concatenate([bucket, ((keys[-len(first) :] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)])
-            order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[order])) + 1
-            parts = np.split(order, cut)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int(bucket[p[0]]) for p in parts], pa.int32()),
-                    *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (keys, metas, own)),
-                ],
-                names=["bucket", "keys", "metas", "nodes"],
-            )
+            size, flushes = 0, flushes + 1
+            return _flushed(keys, marks, own, buckets, hot, task * 1000 + flushes)
 
         for batch in slices(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 s = shingles(text, hashes)
                 if not len(s):
                     continue
-                node = digest(s)[0]
+                node = named(s, bits, shared)
                 if node in done:
                     continue
                 if len(done) < 500_000:
                     done.add(node)
-                for keys, metas in entries(s):
-                    held.append((keys, metas, np.full(len(keys), node, np.int64)))
+                for keys, marks in entries(s):
+                    held.append((keys, marks, np.full(len(keys), node, np.int64)))
                     size += len(keys)
                 if size >= FLUSH:
                     yield flush()
@@ -236,68 +256,81 @@ def _emit(buckets: int):
     return work
 
 
-def _shared(group: pa.Table) -> pa.Table:
+def _shared(hot: int = HOT):
     """Reduce side of one bucket: the entries whose signature two sets or more have, with that number."""
-    release()
-    keys, metas, own = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("keys", np.uint64), ("metas", np.uint64), ("nodes", np.int64)))
-    hot = (metas >> np.uint64(63)) > 0
-    order = np.argsort(keys)
-    keys, metas, own, hot = keys[order], metas[order], own[order], hot[order]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    count = np.diff(np.append(edge, len(keys)))
-    several = np.repeat((count > 1) | np.logical_or.reduceat(hot, edge), count)
-    keys, metas, own = keys[several], metas[several], own[several]
-    order = np.lexsort((own, keys))  # the same set may come from several tasks
-    keys, metas, own = keys[order], metas[order], own[order]
-    fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])]) if len(keys) else np.empty(0, bool)
-    keys, metas, own = keys[fresh], metas[fresh], own[fresh]
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-    count = np.repeat(np.diff(np.append(edge, len(keys))), np.diff(np.append(edge, len(keys))))
-    hot, dummy = (metas >> np.uint64(63)) > 0, (metas >> np.uint64(62)) & np.uint64(1) > 0
-    keep = ((count > 1) | hot) & ~dummy
-    keys, metas, own, count, hot = keys[keep], metas[keep], own[keep], count[keep], hot[keep]
-    n = ((metas & np.uint64((1 << 62) - 1)) >> np.uint64(32)).astype(np.int64)
-    unit = ((metas & np.uint64(0xFFFFFFFF)) >> np.uint64(1)).astype(np.int64)
-    mine = (metas & np.uint64(1)).astype(np.int64)
-    band = np.searchsorted(BANDS, n, side="right") - 1 - (1 - mine)
-    info = [segments(b) for b in range(len(BANDS) - 1)]
-    cap = np.asarray([m * (2 if d else 1) for m, d in info], np.int64)[band] if len(band) else band
-    whole = np.asarray([m for m, _ in info], np.int64)[band] if len(band) else band
-    need = (n + np.minimum(n, BANDS[band + 1] - 1)) // 9 + 1 if len(band) else band
-    cost = np.where(hot, np.maximum(count, 4 * HOT), count)  # one bucket sees a part of them only
-    return pa.table({"key": keys.view(np.int64), "node": own, "n": n, "unit": unit, "own": mine, "cost": cost, "cap": cap, "m": whole, "need": need})
+
+    def work(group: pa.Table) -> pa.Table:
+        release()
+        packed, own = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("entries", np.uint64), ("nodes", np.int64)))
+        home = np.repeat(group.column("home").to_numpy().astype(np.uint64), [len(x) // 8 for x in group.column("entries").to_pylist()])
+        keys, marks = (packed >> KEY_BITS << KEY_BITS) | home, packed & ((np.uint64(1) << KEY_BITS) - np.uint64(1))
+        order = np.argsort(keys)
+        keys, marks, own = keys[order], marks[order], own[order]
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        count = np.diff(np.append(edge, len(keys)))
+        several = np.repeat((count > 1) | np.logical_or.reduceat((marks & DEALT) > 0, edge), count)
+        keys, marks, own = keys[several], marks[several], own[several]
+        order = np.lexsort((marks & STAND_IN, own, keys))  # the same entry may come from several tasks
+        keys, marks, own = keys[order], marks[order], own[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+        keys, marks, own = keys[fresh], marks[fresh], own[fresh]
+        _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+        count, dealt = count[back] if len(keys) else count, (marks & DEALT) > 0
+        keep = ((count > 1) | dealt) & ((marks & STAND_IN) == 0)
+        keys, marks, own, count, dealt = keys[keep], marks[keep], own[keep], count[keep], dealt[keep]
+        cost = np.where(dealt, np.maximum(count, 4 * hot), count)  # one bucket sees a part of them only
+        return pa.table({"key": keys.view(np.int64), "node": own, "unit": (marks >> np.uint64(3)).astype(np.int32), "own": ((marks & OWN) > 0).astype(np.int32), "cost": cost.astype(np.int64)})
+
+    return work
 
 
-ENTRY = "key long, node long, n long, unit long, own long, cost long, cap long, m long, need long"
+ENTRY = "key long, node long, unit int, own int, cost long"
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(bits: int = 64, shared: frozenset[int] = frozenset()):
     """Of rows (node_a, node_b, text_a, text_b) the nodes whose texts are theirs and have Jaccard 4/5 or more."""
-    hashes, last, s, node = WordHashes(), None, np.empty(0, np.uint64), None
-    for batch in slices(batches, 64):
-        us, vs, ta, tb = (batch.column(k).cast(pa.binary()).to_pylist() if k > 1 else batch.column(k).to_pylist() for k in range(4))
-        keep = []
-        for k in range(len(us)):
-            if ta[k] != last:
-                last, s = ta[k], shingles(ta[k], hashes)
-                node = digest(s)[0] if len(s) else None
-            if node != us[k]:
-                continue  # another row with the same id
-            t = shingles(tb[k], hashes)
-            if not len(t) or digest(t)[0] != vs[k]:
-                continue
-            same = len(s) + len(t) - len(np.union1d(s, t))
-            if 100 * same >= 80 * (len(s) + len(t) - same):
-                keep.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], pa.int64()) for x in (us, vs)], names=["u", "v"])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last, s, node = WordHashes(), None, np.empty(0, np.uint64), None
+        for batch in slices(batches, 64):
+            us, vs, ta, tb = (batch.column(k).cast(pa.binary()).to_pylist() if k > 1 else batch.column(k).to_pylist() for k in range(4))
+            keep = []
+            for k in range(len(us)):
+                if ta[k] != last:
+                    last, s = ta[k], shingles(ta[k], hashes)
+                    node = named(s, bits, shared) if len(s) else None
+                if node != us[k]:
+                    continue  # another row with the same id
+                t = shingles(tb[k], hashes)
+                if not len(t) or named(t, bits, shared) != vs[k]:
+                    continue
+                same = len(s) + len(t) - len(np.union1d(s, t))
+                if 100 * same >= 80 * (len(s) + len(t) - same):
+                    keep.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in keep], pa.int64()) for x in (us, vs)], names=["u", "v"])
+
+    return work
+
+
+def possible(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is among ``ids``, and a few others: a bitmap of ``FILTER`` bits over hashes of the
+    ids. Its size is the same for any number of ids; the more there are, the more other rows pass."""
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER))
+    bits = ids.select(place.alias("h")).groupBy(F.floor(F.col("h") / FILTER_ROW).cast("int").alias("__row"))
+    marks = bits.agg(F.bitmap_construct_agg(F.col("h") % FILTER_ROW).alias("__bits"))
+    found = docs.withColumn("__row", F.floor(place / FILTER_ROW).cast("int")).join(F.broadcast(marks), "__row")  # 4 MB at most
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(place % FILTER_ROW / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return found.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, bits: int, shared: frozenset[int]) -> DataFrame:
     """The pairs (a, b, node_a, node_b) whose texts' sets have Jaccard 4/5 or more; a is the hub."""
+    docs = possible(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     other = docs.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     hub = docs.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     both = pairs.join(other, "b").join(hub, "a").select("node_a", "node_b", "text_a", "text_b")
-    return both.mapInArrow(_linked, "u long, v long")
+    return both.mapInArrow(_linked(bits, shared), "u long, v long")
 
 
 def _fitting(r: str, s: str) -> F.Column:
@@ -311,22 +344,29 @@ def _as(known: DataFrame, side: str, *names: str) -> DataFrame:
     return known.select(F.col("node").alias(f"node_{side}"), *(F.col(c).alias(f"{c}_{side}") for c in (*names, *PARITIES)))
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, bits: int = 64) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links reach, itself included), n_equal.
 
     Words are lower-cased (A-Z) runs without ASCII white space; documents link at Jaccard 0.8 or more of their
     distinct 5-word shingles. Null and empty texts have no shingles and link with nothing. ``n_equal`` counts the
     rows with the same set. Repeated rows link as equal sets; rows of one id with different texts each have their
     own place. A row with a null id joins its equals' component but lends no id. An empty table gives no rows.
+    ``hot`` and ``bits`` (of a set's first name) change the way, not the result.
     """
     source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    every = stash(nodes(source), "nodes")
-    sets = every.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"), F.count(F.lit(1)).alias("n_equal"), *(F.max(p).alias(p) for p in PARITIES))
-    known = stash(sets, "sets")
-    total = known.agg(F.sum("n").alias("n"), F.count_if(F.col("low") != F.col("high")).alias("odd")).first()
-    if total["odd"]:
-        raise RuntimeError("two different sets share a 64-bit digest")
-    links = stash(_links(source, known.where("id is not null"), total["n"] or 0), "links")
+    every = stash(nodes(source, bits), "nodes")
+    known, odd = _sets(every)
+    shared = frozenset()
+    if odd:
+        if odd > SHARED_HALVES:
+            raise RuntimeError(f"{odd} sets share the first half of their digest")
+        shared = frozenset(r["node"] for r in known.where("low <> high").select("node").collect())
+        every = every.withColumn("node", F.when(F.col("node").isin(list(shared)), F.col("check")).otherwise(F.col("node")))
+        discard(known)
+        known, odd = _sets(every)
+        if odd:
+            raise RuntimeError("two different sets share both halves of their digests")
+    links = stash(_links(source, known.where("id is not null"), hot, bits, shared), "links")
     parts = components(links)
     placed = known.join(parts.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -335,53 +375,75 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce("n_equal", F.lit(1)).alias("n_equal"))
 
 
-def _links(source: DataFrame, known: DataFrame, total: int) -> DataFrame:
-    """Verified links (u, v) between nodes that connect just what all links connect."""
-    buckets = max(64, -(-total * 6 // (10 * BUCKET)))
-    rows = source.select("text").mapInArrow(_emit(buckets), "bucket int, keys binary, metas binary, nodes binary")
-    shared = stash(rows.groupBy("bucket").applyInArrow(_shared, ENTRY), "shared")
-    # allocation: per set and band, the cheapest costly units that are still needed once the free ones are taken
-    per = shared.repartition("node")
-    units = per.groupBy("node", "own", "unit", "n", "cap", "m", "need").agg(F.sum("cost").alias("cost"), F.collect_list("key").alias("keys"))
-    segment = F.expr("unit div 4")
+def _sets(every: DataFrame) -> tuple[DataFrame, int]:
+    """One row for each node, and how many nodes are several sets."""
+    sets = every.where("n > 0").groupBy("node").agg(
+        F.min("id").alias("id"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"),
+        F.count(F.lit(1)).alias("n_equal"), *(F.max(p).alias(p) for p in PARITIES),
+    )
+    known = stash(sets, "sets")
+    return known, known.agg(F.count_if(F.col("low") != F.col("high"))).first()[0]
+
+
+def _chosen(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, node, n, own, used, share) of every shared signature; ``used`` marks those that are allocated.
+
+    Per set and band the cheapest costly units are used that are still needed once the free ones are taken.
+    """
+    info = [segments(b) for b in range(len(BANDS) - 1)]
+    at = lambda values: F.element_at(F.lit(values), F.col("band") + F.col("own") - 1)
+    band = F.size(F.filter(F.lit(BANDS.tolist()), lambda x: x <= F.col("n")))
+    per = shared.join(known.select("node", "n", band.alias("band")), "node")
+    units = per.groupBy("node", "own", "unit", "n", "band").agg(F.sum("cost").alias("cost"), F.collect_list("key").alias("keys"))
+    units = units.withColumn("m", at([m for m, _ in info])).withColumn("cap", at([m * (2 if d else 1) for m, d in info]))
+    units = units.withColumn("need", F.floor((F.col("n") + F.least("n", at((BANDS[1:] - 1).tolist()))) / 9) + 1)
     own = W.partitionBy("node", "own")
-    by_segment = W.partitionBy("node", "own", segment)
-    priced = units.withColumn("price", F.max(F.when(F.col("unit") % 2 == 0, F.col("cost"))).over(by_segment))
-    priced = priced.withColumn("price", F.when(F.col("unit") % 2 == 0, F.col("cost")).otherwise(F.col("cost") + F.coalesce("price", F.lit(0))))
+    whole = F.max(F.when(F.col("unit") % 2 == 0, F.col("cost"))).over(W.partitionBy("node", "own", F.expr("unit div 4")))
+    priced = units.withColumn("price", F.col("cost") + F.when(F.col("unit") % 2 == 0, 0).otherwise(F.coalesce(whole, F.lit(0))))
     priced = priced.withColumn("worth", F.expr("if(unit % 4 = 2, 2, 1)"))
     cheapest = own.orderBy(F.col("price") / F.col("worth"), F.expr("unit % 2"), "unit").rowsBetween(W.unboundedPreceding, 0)
     ranked = priced.withColumn("costly", F.sum("worth").over(own)).withColumn("before", F.sum("worth").over(cheapest) - F.col("worth"))
-    ranked = ranked.withColumn("share", F.count_if(F.expr("unit % 2 = 0")).over(own) / F.col("m"))
-    chosen = stash(ranked.select("node", "own", "n", "share", F.expr("before < need - (cap - costly)").alias("used"), F.explode("keys").alias("key")), "chosen")
-    probes = chosen.where("used").select("key", F.col("node").alias("r"), F.col("n").alias("n_r"), F.col("share").alias("share_r"))
-    index = chosen.where("own = 1").select("key", F.col("node").alias("s"), F.col("n").alias("n_s"), "share")
-    index = index.join(probes.select("key").distinct(), "key", "left_semi")
+    ranked = ranked.withColumn("share", (F.count_if(F.expr("unit % 2 = 0")).over(own) / F.col("m")).cast("float"))
+    return ranked.select(F.explode("keys").alias("key"), "node", F.col("n").cast("int").alias("n"), (F.col("own") == 1).alias("own"), F.expr("before < need - (cap - costly)").alias("used"), "share")
+
 
-    def named(pairs: DataFrame) -> DataFrame:
+def _links(source: DataFrame, known: DataFrame, hot: int, bits: int, odd: frozenset[int]) -> DataFrame:
+    """Verified links (u, v) between nodes that connect just what all links connect."""
+    total = known.agg(F.sum("n")).first()[0] or 0
+    buckets = min(1 << 28, max(64, total // (2 * BUCKET)))
+    rows = source.select("text").mapInArrow(_emit(buckets, hot, bits, odd), ROW)
+    shared = stash(rows.groupBy("bucket").applyInArrow(_shared(hot), ENTRY), "shared")
+    chosen = stash(_chosen(shared, known).where("own or used"), "chosen")
+    discard(shared)
+    best = lambda when: F.max_by(F.when(F.expr(when), F.col("node")), F.when(F.expr(when), F.struct("share", "node")))
+
+    def pairs(met: DataFrame) -> DataFrame:
         """Distinct pairs (hub s, r) that may link, as nodes a and b with the ids of their texts."""
-        pairs = pairs.where("r <> s").select(F.col("s").alias("node_a"), F.col("r").alias("node_b")).distinct()
+        met = met.where("r <> s").select(F.col("s").alias("node_a"), F.col("r").alias("node_b")).distinct()
         a, b = _as(known, "a", "id", "n"), _as(known, "b", "id", "n")
-        met = pairs.join(b, "node_b").join(a, (pairs["node_a"] == a["node_a"]) & _fitting("a", "b"))
-        return met.select(pairs["node_a"], "node_b", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+        found = met.join(b, "node_b").join(a, (met["node_a"] == a["node_a"]) & _fitting("a", "b"))
+        return found.select(met["node_a"], "node_b", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
     # each prober with its signature's best indexed set, and each indexed set with its signature's best prober
-    hubs = index.groupBy("key").agg(F.max_by(F.struct("s"), F.struct("share", "s")).alias("hub"))
-    askers = probes.groupBy("key").agg(F.max_by(F.struct("r"), F.struct("share_r", "r")).alias("hub"))
-    down = probes.join(hubs, "key").select("r", F.col("hub.s").alias("s"))
-    up = index.join(askers, "key").select(F.col("s").alias("r"), F.col("hub.r").alias("s"))
-    tried = stash(named(down.unionByName(up)), "tried")
-    links = stash(_verified(tried, source), "hub-links")
+    hubs = chosen.groupBy("key").agg(best("own").alias("hub"), best("used").alias("asker")).where("hub is not null and asker is not null")
+    keyed = stash(chosen.join(hubs, "key"), "keyed")
+    discard(chosen)
+    ways = F.filter(F.array(F.when(F.col("used"), F.col("hub")), F.when(F.col("own"), F.col("asker"))), lambda x: x.isNotNull())
+    tried = stash(pairs(keyed.select(F.col("node").alias("r"), F.explode(ways).alias("s"))), "tried")
+    keyed = keyed.drop("hub", "asker")
+    links = stash(_verified(tried, source, bits, odd), "hub-links")
+    left = None
     while True:
-        parts = stash(components(links), "parts")
-        place = lambda df, node, name, parts=parts: df.join(parts.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+        parts = components(links).select("node", F.col("component").alias("c"))
         # what is left: pairs of different components that share an allocated signature
-        spread, asked = place(index, "s", "c_s"), place(probes, "r", "c_r")
-        members = spread.select("key", F.col("c_s").alias("c"), F.lit(1).alias("i"), F.lit(0).alias("p")).unionByName(asked.select("key", F.col("c_r").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("p")))
-        mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("i").alias("i"), F.sum("p").alias("p")).where("lo <> hi")
-        mixed = stash(mixed.select("key", "i", "p"), "mixed")
-        spread = stash(spread.join(mixed.select("key"), "key", "left_semi"), "spread")
-        asked = stash(asked.join(mixed.select("key"), "key", "left_semi"), "asked")
-        size = mixed.agg(F.sum(F.col("i") * F.col("p")).alias("pairs"), F.sum(F.col("i") + F.col("p")).alias("rows")).first()
+        placed = keyed.join(parts, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("own").alias("i"), F.count_if("used").alias("p")).where("lo <> hi")
+        before, left = left, stash(placed.join(mixed.select("key", "i", "p"), "key"), "left")
+        if before is not None:
+            discard(before)
+        size = left.agg(F.sum(F.when(F.col("used"), F.col("i"))).alias("pairs"), F.count(F.lit(1)).alias("rows")).first()
+        spread = left.where("own").select("key", F.col("node").alias("s"), F.col("c").alias("c_s"), F.col("n").alias("n_s"), "share")
+        asked = left.where("used").select("key", F.col("node").alias("r"), F.col("c").alias("c_r"), F.col("n").alias("n_r"))
         if (size["pairs"] or 0) <= 8 * (size["rows"] or 0) + 10_000:
             break
         # too many pairs to list: contract first, each prober with the best set of another component
@@ -389,21 +451,22 @@ def _links(source: DataFrame, known: DataFrame, total: int) -> DataFrame:
         rest = spread.join(top, "key").where(F.col("c_s") != F.col("h1.c_s")).groupBy("key").agg(F.max_by(F.struct("s", "c_s"), F.struct("share", "s")).alias("h2"))
         hub = F.when(F.col("c_r") != F.col("h1.c_s"), F.col("h1")).otherwise(F.col("h2"))
         more = asked.join(top.join(rest, "key", "left"), "key").withColumn("h", hub).where("h is not null")
-        more = named(more.select("r", F.col("h.s").alias("s")))
+        more = pairs(more.select("r", F.col("h.s").alias("s")))
         more = stash(more.join(tried.select("node_a", "node_b"), ["node_a", "node_b"], "left_anti"), "more")
-        found = stash(_verified(more, source), "more-links")
+        found = stash(_verified(more, source, bits, odd), "more-links")
         tried = tried.unionByName(more)
         links = links.unionByName(found)
         if 50 * found.count() < more.count():  # what is left are sets near the threshold: the last step takes them
             break
-    asked = asked.select("key", "r", "c_r", "n_r").join(_as(known, "r"), F.col("r") == F.col("node_r"))
-    spread = spread.select("key", "s", "c_s", "n_s").join(_as(known, "s"), F.col("s") == F.col("node_s"))
+    asked = asked.join(_as(known, "r"), F.col("r") == F.col("node_r"))
+    spread = spread.drop("share").join(_as(known, "s"), F.col("s") == F.col("node_s"))
     met = asked.join(spread, (asked["key"] == spread["key"]) & (F.col("c_r") != F.col("c_s")) & _fitting("r", "s"))
-    rest = named(met.select("r", "s"))
+    rest = pairs(met.select("r", "s"))
     rest = stash(rest.join(tried.select("node_a", "node_b"), ["node_a", "node_b"], "left_anti"), "rest")
+    discard(left)
     if not rest.take(1):
         return links
-    return links.unionByName(_verified(rest, source))
+    return links.unionByName(_verified(rest, source, bits, odd))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,8 +475,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows with a null id stay, as nothing names them.
     """
     found = jaccard_join(docs, id_col, text_col).where(F.col(id_col).isNotNull())
-    gone = stash(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    kept = docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
-    if found.groupBy(id_col).count().where("count > 1").take(1):
-        kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+    gone = stash(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct(), "gone")
+    kept = docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+    if found.groupBy(id_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").take(1):
+        kept = kept.where(docs[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
     return kept
