@@ -1,16 +1,19 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Lines inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments count as empty. The text lengths are summed over sliding windows of
-lines; the text surges where a window first exceeds a threshold and dives where the windows fall back to nothing.
-What lies between a surge and its dive is kept; a page may surge several times. Where one article element of the page
-holds half of its text or more, lines outside articles count as empty.
+Markup is stripped into lines, one for each block element; an empty block is an empty line. Lines inside menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, lines of links and lines that read
+like a legal notice count as empty. The text lengths are summed over sliding windows of lines; the text surges where a
+window first exceeds a threshold and dives where a window falls to nothing. What lies between a surge and its dive is
+kept; a page may surge several times. Where one article element of the page holds half of its text or more, lines
+outside articles count as empty, boilerplate inside is no line, and a surge begins with the article's first line.
+Pages are scanned once from front to back, whatever they hold.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,9 +21,12 @@ from pyspark.sql import functions as F
 
 from driftlens.llm.common import arrow_rows
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"""(class|id|role|aria-label|itemprop|hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+#: What ends a tag, or begins an attribute's value in quotes.
+_END = re.compile(r">|=\s*([\"'])")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ZEROS, _HUGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 # Element names by what the HTML standard says of them.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "audio", "video", "select", "noframes", "noembed", "xmp"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
@@ -32,6 +38,9 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "aler
 # Words in class names and ids that mark what is not the article.
 MARKS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adbox", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "discussion", "dropdown", "footer", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "sidenav", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget", "widgets"}
 WINDOW, SURGE = 3, 60
+# How short legal notices begin, and short lines that are one as a whole.
+_NOTICE = re.compile(r"(?:©|\(c\) ?\d|copyright\b|all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|alle rechte vorbehalten|nutzungsbedingungen|datenschutz|tous droits réservés|mentions légales|todos los derechos|aviso legal)|(?:legal(?: notice)?|terms|privacy|imprint|impressum|cookies)\W*\Z", re.I)
+NOTICE_CHARS = 200
 
 
 def marked(name: str, attributes: str) -> bool:
@@ -51,50 +60,105 @@ def marked(name: str, attributes: str) -> bool:
     return False
 
 
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond Unicode become the replacement character."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _HUGE.sub("\ufffd", _ZEROS.sub("&#", text))
+    return entities.unescape(text)
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in order: kind is ``text``, ``open``, ``close`` or ``single``.
+
+    Comments, declarations and raw elements are left out. A quote counts within a tag behind an equals sign only; once
+    one is left open to the page's end, quotes count no more, so each character is looked at a bounded number of times.
+    """
+    at, end, quotes = 0, len(page), True
+    while at < end:
+        mark = page.find("<", at)
+        if mark < 0:
+            yield "text", page[at:], ""
+            return
+        if mark > at:
+            yield "text", page[at:mark], ""
+        at = mark
+        if page.startswith("<!--", at) or page.startswith("<![CDATA[", at):
+            close = "-->" if page[at + 2] == "-" else "]]>"
+            found = page.find(close, at + 4)
+            at = found + 3 if found >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), at):
+            found = page.find(">", at)
+            at = found + 1 if found >= 0 else end
+            continue
+        m = _NAME.match(page, at)
+        if not m:
+            yield "text", "<", ""
+            at += 1
+            continue
+        stop, look = -1, m.end()
+        while quotes:
+            e = _END.search(page, look)
+            if not e:
+                quotes = False
+            elif e[1] is None:
+                stop = e.start()
+                break
+            else:
+                look = page.find(e[1], e.end()) + 1
+                quotes = look > 0
+        if stop < 0:
+            stop = page.find(">", m.end())
+        if stop < 0:  # no tag ends any more: the rest is text
+            yield "text", page[at:], ""
+            return
+        name, inner = m[1].lower(), page[m.end() : stop]
+        closing, single = page[at + 1] == "/", inner.endswith("/")
+        at = stop + 1
+        if name in RAW:
+            if not closing and not single:
+                found = _CLOSE[name].search(page, at)
+                at = (page.find(">", found.start()) + 1 or end) if found else end
+            continue
+        yield "close" if closing else "single" if single else "open", name, inner
+
+
+_CLOSE = {name: re.compile(rf"</{name}[\s/>]", re.I) for name in RAW}
+
+
 def lines(page: str) -> list[tuple[str, bool, int, float]]:
     """The page's blocks as (text, is boilerplate, number of its outermost article or 0, share of text in links)."""
     out: list[tuple[str, bool, int, float]] = []
     held: list[str] = []
     linked = skip_depth = inside = links = articles = nested = 0
-    skip_name = ""
-    raw_until = None
+    skip_name = opened = ""
 
-    def flush() -> None:
+    def flush(empty: bool = False) -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(held)).strip()
-        if text or held:
+        if text or empty:
             out.append((text, bool(skip_depth), articles if inside else 0, linked / max(1, len(text))))
         held.clear()
         linked = 0
 
-    at, end = 0, len(page)
-    while at < end:
-        if raw_until:
-            found = re.compile(rf"</{raw_until}[\s/>]", re.I).search(page, at)
-            at, raw_until = (page.find(">", found.start()) + 1 or end) if found else end, None
-            continue
-        m = _TOKEN.match(page, at)
-        at = m.end()
-        name = m[2]
-        if name is None:
-            text = m[0]
-            if text[:2] in ("<!", "<?"):
-                continue
-            text = entities.unescape(text) if "&" in text else text
+    for kind, name, inner in tokens(page):
+        if kind == "text":
+            text = decoded(name)
             held.append(text)
             if links:
                 linked += len(text.strip())
+            if opened and not text.isspace():
+                opened = ""
             continue
-        name, closing = name.lower(), bool(m[1])
-        if not closing and name in RAW:
-            if not m[0].endswith("/>"):
-                raw_until = name
-            continue
+        closing = kind == "close"
         if name == "br":
             held.append(" ")
             continue
         if name in BLOCKS or name in SKIPPED:
-            flush()
+            flush(empty=closing and name == opened)
+            opened = "" if closing or kind == "single" else name
         if name == "a":
             links = max(0, links + (-1 if closing else 1))
         elif name in BLOCKS:
@@ -113,11 +177,11 @@ def lines(page: str) -> list[tuple[str, bool, int, float]]:
                 skip_depth = 0
             else:
                 continue
-        skips = not closing and marked(name, m[3])
+        skips = not closing and marked(name, inner)
         if name in ("article", "main") and not skips:
             articles += not closing and not inside
             inside = max(0, inside + (-1 if closing else 1))
-        elif skips and name not in VOID and not m[0].endswith("/>"):
+        elif skips and name not in VOID and kind != "single":
             if name not in BLOCKS and name not in SKIPPED:
                 flush()
             skip_depth, skip_name, nested = 1, name, 0
@@ -129,21 +193,29 @@ def main_text(page: str | None) -> str:
     """The article's blocks, each with single spaces, joined by two line feeds; empty where the page has none."""
     if not page:
         return ""
-    found = [line for line in lines(page) if line[0]]
-    sizes = [0 if skip or share > 0.6 else len(t) for t, skip, _, share in found]
+    found = [(t, skip or len(t) < NOTICE_CHARS and bool(_NOTICE.match(t)), article, share) for t, skip, article, share in lines(page)]
     held: dict[int, int] = {}
-    for (_, skip, article, _), n in zip(found, sizes, strict=True):
+    for text, skip, article, _ in found:
         if article and not skip:
-            held[article] = held.get(article, 0) + n
+            held[article] = held.get(article, 0) + len(text)
+    sizes = [0 if skip or share > 0.6 else len(t) for t, skip, _, share in found]
     if held and 2 * max(held.values()) >= sum(sizes):
+        found = [f for f in found if f[0] and not (f[2] and f[1])]
         sizes = [len(t) if article and not skip else 0 for t, skip, article, _ in found]
     threshold = max(1, min(SURGE, max(sizes, default=0)))
-    kept, surged = [], False
-    for k, ((text, *_), n) in enumerate(zip(found, sizes, strict=True)):
+    kept, first = [], 0  # the lines from ``first`` on are not kept yet
+    surged = False
+    for k, n in enumerate(sizes):
         block = sum(sizes[k : k + WINDOW])
-        surged = block > 0 and (surged or block >= threshold)
+        if surged and not block:
+            surged, first = False, k
+        elif not surged and block >= threshold:
+            surged, start = True, k
+            while start > first and sizes[start - 1] and found[start - 1][2] == found[k][2] > 0:
+                start -= 1
+            kept += [found[j][0] for j in range(start, k)]
         if surged and n:
-            kept.append(text)
+            kept.append(found[k][0])
     return "\n\n".join(kept)
 
 
