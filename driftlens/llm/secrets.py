@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Base patterns find assignments, access keys and hexadecimal strings in whole texts. The method then aggregates the
-hashes of all candidates over the corpus by distinct owners and documents: a value that several owners or very many
+hashes of all candidates over the corpus by distinct owners and rows: a value that several owners or very many
 documents have is a widely copied example, one that a single owner has in few looks live. Candidates of the method's
 own, mixed tokens that no base pattern covers, become spans of kind ``live`` only where no second owner is known and
 the documents are few. A null owner is unknown: such a document tells nothing of owners, but counts as a document.
@@ -51,10 +51,13 @@ def base_spans(text: str) -> list[tuple[int, str, int, int, str]]:
 
 
 def extra_candidates(text: str, base: list[tuple[int, str, int, int, str]]) -> list[tuple[int, str, int, int, str]]:
-    """Tokens of letters and digits with high entropy that overlap no base span."""
-    found = []
+    """Tokens of letters and digits with high entropy that overlap no base span; both lists go by place, in one sweep."""
+    found, at, reach = [], 0, 0
     for m in _MIXED.finditer(text):
-        if entropy(m[0]) >= 3.5 and not any(m.start() < s[2] and s[0] < m.end() for s in base):
+        while at < len(base) and base[at][0] < m.end():
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= m.start() and entropy(m[0]) >= 3.5:
             found.append((m.start(), "live", m.end(), 3, m[0]))
     return found
 
@@ -112,7 +115,8 @@ def find_secrets(
     """
     found = stash(scan(docs, owner_col, id_col, text_col), "secrets")
     spans = found.where(F.size("found") > 0).select("row", F.explode("found").alias("s")).select("row", "s.*")
-    known = spans.join(ownership(found), "hash").select(
+    # a table of its own below the join: a value in a third of all rows is then split by the adaptive skew join
+    known = spans.join(stash(ownership(found), "owners"), "hash").select(
         "row", "start", "kind", "end", "owners", "unknown", (F.col("uses") >= shared_rows).alias("many"),
         F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3).alias("rank"),
     )
