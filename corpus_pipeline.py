@@ -1,7 +1,7 @@
 """A training corpus from raw documents: language, near duplicates, benchmark copies, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but the last return the
-columns of documents. Stages are separated by Parquet tables in the shared folder, so a lost executor repeats tasks
+columns of documents, extra ones of any name included. An empty table gives an empty result. Stages are separated by Parquet tables in the shared folder, so a lost executor repeats tasks
 of one stage only.
 """
 
@@ -16,30 +16,29 @@ from driftlens.llm.common import stash, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best two languages can't be told apart, go."""
-    found = language_id.identify(docs, language_id.fit(docs), keep=tuple(docs.columns))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    """Documents without a letter (null and empty ones too), or whose best two languages can't be told apart, go."""
+    return language_id.drop_rejected(docs, language_id.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return jaccard_join.one_of_each(docs).select(*docs.columns)
+    """Of each group of linked documents the one with the smallest id stays, of repeated rows one; documents without
+    words link with nothing, and rows with a null id stay."""
+    return jaccard_join.one_of_each(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a test item go."""
-    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    """Documents that hold a copy of a test item go; those with a null id or text stay."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gets surrogates; ``n_chars`` follows the text."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = pii.replace_pii(docs, keep=others).select(*docs.columns)
+    """Personal data gets surrogates; ``n_chars`` follows the text. No row goes; null texts stay null."""
+    out = pii.with_surrogates(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token windows of 2048."""
+    """Token windows of 2048; null and empty texts are one piece of one id, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

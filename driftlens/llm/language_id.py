@@ -21,7 +21,6 @@ from driftlens.llm.common import slices
 
 #: Bytes of a text that are compressed in one go: the dictionary counts in each block, and whole texts are read.
 BLOCK = 4096
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHERS = re.compile(r"[\W\d_]+")
 
 
@@ -30,6 +29,11 @@ def letters(text: str) -> str:
     return _OTHERS.sub(" ", text.lower())
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter by Unicode; numbers such as ½ or Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(id_col: str) -> F.Column:
     """True for a fifth of the ids, which are never learned from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
@@ -43,17 +47,20 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
+    languages: int = 200,
 ) -> dict[str, bytes]:
     """A dictionary for each language of the rows that are not held out.
 
     The sample is bounded: about ``per_language`` rows of each language, spread over the table by a hash of the id,
     and ``chars`` characters of each, from a hashed place; a language's rate comes from its count, so frequent languages
     are thinned before anything is sorted or sent. Of each row the dictionary holds its share of ``dictionary_bytes``
-    only, from a hashed place again: about 80 bytes of letters at 400 rows. Equal shares count once. Rows with null id, text or language are not learned from.
+    only, from a hashed place again: about 80 bytes of letters at 400 rows. Equal shares count once. Rows with null id,
+    text or language are not learned from; of more values of the language than ``languages``, the most frequent are.
     """
     known = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    frequent = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in frequent.collect()}
     if not counts:
         return {}
     spread = F.pmod(F.xxhash64(F.col("id"), F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
@@ -99,7 +106,7 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, margin): the share of the runner-up's bytes that the winner saves; in a tie, a hundredth of the
         lead in runs."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return "und", 0.0
         sizes = self.sizes(text)
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
@@ -117,41 +124,45 @@ class Classifier:
         return self.langs[order[0]], (second - first) / second if second else 0.0
 
 
+def _judged(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float, text_col: str) -> DataFrame:
+    """The columns of ``docs`` as k0, k1, ..., and lang_pred, score, rejected, whatever the columns' names."""
+    names = [f"k{k}" for k in range(len(docs.columns))]
+    cache: dict = {}
+
+    def run(batches):
+        for batch in slices(batches):
+            if "own" not in cache:
+                cache["own"] = Classifier(dictionaries)
+            got = [cache["own"].predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*names, "lang_pred", "score"])
+
+    columns = [docs[c].alias(n) for n, c in zip(names, docs.columns, strict=True)]
+    kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)]
+    got = docs.select(*columns, docs[text_col].alias("t")).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return got.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < min_margin))
+
+
 def identify(
     docs: DataFrame,
     dictionaries: dict[str, bytes],
     min_margin: float = 0.002,
     id_col: str = "doc_id",
     text_col: str = "text",
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per row: id, held_out, lang_pred, score (the margin), rejected, and the columns in ``keep``.
+    """Per row: id, held_out, lang_pred, score (the margin), rejected.
 
     Null texts, texts without a letter, and any text where nothing was learned, get ``und``, score 0, rejected. A
     margin below ``min_margin`` is rejected too, though the prediction stays. Repeated rows are judged each; only the
-    text is looked at. The dictionaries are bounded (32 KB a language) and travel with the function; no shuffle.
+    text is looked at; an empty table gives no rows; other columns, whatever their names, are not read. The
+    dictionaries are bounded (32 KB a language) and travel with the function; no shuffle.
     """
-    schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
-    fields = [f for f in docs.schema.fields if f.name in keep]
-
-    def work(batch: pa.RecordBatch) -> dict[str, list]:
-        if "own" not in cache:
-            cache["own"] = Classifier(dictionaries)
-        got = [cache["own"].predict(t) for t in batch.column(1).to_pylist()]
-        out = {batch.schema.names[k]: batch.column(k) for k in range(batch.num_columns) if k != 1}
-        return out | {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+    source = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    got = _judged(source, dictionaries, min_margin, "text")
+    return got.select(F.col("k0").alias(id_col), F.coalesce(held_out("k0"), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
 
-    def run(batches):
-        for batch in slices(batches):
-            out = work(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(out[k], schema.field(k).type) if k in schema.names else out[k] for k in out], names=list(out))
 
-    cache: dict = {}
-    columns = [docs[id_col].cast("long").alias("__id"), docs[text_col].alias("__text"), *(docs[f.name].alias(f"k{k}") for k, f in enumerate(fields))]
-    kinds = ["__id long", *(f"k{k} {f.dataType.simpleString()}" for k, f in enumerate(fields)), "lang_pred string", "score double"]
-    got = docs.select(*columns).mapInArrow(run, ", ".join(kinds))
-    return got.select(
-        F.col("__id").alias(id_col), F.coalesce(held_out("__id"), F.lit(False)).alias("held_out"), "lang_pred", "score",
-        ((F.col("lang_pred") == "und") | (F.col("score") < min_margin)).alias("rejected"),
-        *(F.col(f"k{k}").alias(f.name) for k, f in enumerate(fields) if f.name != id_col),
-    )
+def drop_rejected(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.002, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns in their order, whatever their names, that ``identify`` does not reject."""
+    kept = _judged(docs, dictionaries, min_margin, text_col).where(~F.col("rejected"))
+    return kept.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(docs.columns)))
