@@ -1,8 +1,8 @@
 """Benchmark decontamination: n-gram seeds, exact word bounds, then Smith-Waterman alignment.
 
 Every word n-gram of a test item is a seed, however many documents have it: an n-gram may be frequent because the item
-was copied often, and edited copies have no others. What an alignment can reach is bounded exactly first: it needs half
-of the item's words (at the usual share), in a stretch of the text of bounded length. Hits outside such stretches,
+was copied often, and edited copies have no others. What an alignment can reach is bounded exactly first: it needs a share
+of the item's words (0.45 as usual), in a stretch of the text of bounded length. Hits outside such stretches,
 as frequent phrases have them, cost no alignment. Around each group of the others a window of the text is aligned with
 the item, word by word; a copy with changed, added or missing words still scores.
 """
@@ -22,6 +22,8 @@ from driftlens.llm.common import slices, stash
 _WORD = re.compile(r"\w+")
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Pairs count from this share of a full match on; items of fewer words match only a text of just these words.
+LEAST, LEAST_WORDS = 0.45, 8
 #: Characters of test items that travel to the executors at once; more items make more passes.
 ITEM_CHARS = 16 << 20
 
@@ -164,18 +166,18 @@ def contaminated(ids: np.ndarray, index: Index, least: float) -> list[tuple[int,
                 windows.append([a, b])
         best = max(((align(words, ids[a:b])[0], -a, b) for a, b in windows), default=(0, 0, 0))
         score = best[0] / (MATCH * m)
-        if score >= least:
+        if score >= least and (m >= LEAST_WORDS or len(ids) == m and score == 1):
             out.append((item, round(score, 6), -best[1], best[2]))
     return out
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """Pairs (id, item_id, score, first_word, last_word) where a text holds a copy of a test item.
 
-    ``score`` is the best alignment's share of a full match; pairs from ``least`` on are returned. Null or empty texts
-    and items match nothing; repeated rows and repeated items give a pair each; no pair makes no row. The items go to
+    ``score`` is the best alignment's share of a full match; pairs from ``least`` on are returned. An item of fewer
+    than ``LEAST_WORDS`` words matches only a text of just these words. Null or empty texts and items match nothing; repeated rows and repeated items give a pair each; no pair makes no row. The items go to
     the executors in parts of bounded size, each with its own pass, so any number of items works. No text is shuffled.
     """
     spark = docs.sparkSession
@@ -204,8 +206,8 @@ def find_contamination(
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "score", "first_word", "last_word")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose id is in no contaminated pair; rows with a null id stay."""
-    bad = find_contamination(docs, benchmark, least, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct()
+    bad = find_contamination(docs, benchmark, least, id_col, text_col).select(F.col(id_col).alias("bad")).distinct()
     bad = stash(bad, "contaminated")  # its size is then known, and the join is a broadcast only where that is small
-    return docs.join(bad, docs[id_col] == F.col("__bad"), "left_anti")
+    return docs.join(bad, docs[id_col] == bad["bad"], "left_anti")
