@@ -8,6 +8,7 @@ label a rule gives.
 from __future__ import annotations
 
 import math
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "host_length", "labels", "hyphens", "path_digits", "path_length", "suffix_score", "section_score")
 
+#: Folds of hosts for the rates that the trees learn from.
+FOLDS = 5
+
 
 def parts(url: Column) -> tuple[Column, Column]:
     """(host, path) of a URL: what follows the first ``://``; both empty where it is null or has none."""
@@ -158,7 +162,7 @@ def fit(pages: DataFrame, rules=RULES, sample: int = 2000, url_col: str = "url")
     """Train on at most ``sample`` distinct URLs that a rule labels, chosen by a hash of the URL.
 
     The sample is the only data that reaches the driver. Suffix statistics are smoothed block rates of the sample's
-    last two host labels and first path segments. With no labelled URL the model has no trees and allows all.
+    last two host labels and first path segments; for the rows that the trees learn from, of other hosts. With no labelled URL the model has no trees and allows all.
     """
     host, path = parts(F.col("url"))
     labelled = pages.select(pages[url_col].cast("string").alias("url")).where(F.col("url").isNotNull()).select("url", host.alias("host"), path.alias("path"))
@@ -167,22 +171,31 @@ def fit(pages: DataFrame, rules=RULES, sample: int = 2000, url_col: str = "url")
     names = FEATURES[:-2]
     values = features(F.col("url"), F.col("host"), F.col("path"))
     rows = picked.orderBy("mix", "url").limit(sample).select(
-        "url", "rule", suffix(F.col("host")).alias("suffix"), section(F.col("path")).alias("section"), *(values[n].alias(n) for n in names)
+        "url", "rule", "host", suffix(F.col("host")).alias("suffix"), section(F.col("path")).alias("section"), *(values[n].alias(n) for n in names)
     ).collect()
     verdicts = dict(rules)
     labels = [int(verdicts[r["rule"]] == "block") for r in rows]
     prior = (sum(labels) + 1) / (len(labels) + 2)
 
-    def rates(key: str) -> dict[str, float]:
+    fold = [zlib.crc32(r["host"].encode()) % FOLDS for r in rows]
+
+    def rates(key: str, without: int | None = None) -> dict[str, float]:
+        """Smoothed block rates by a key's values, of all rows or of those outside a fold of hosts."""
         sums: dict[str, list[int]] = {}
-        for r, y in zip(rows, labels, strict=True):
-            s = sums.setdefault(r[key], [0, 0])
-            s[0] += y
-            s[1] += 1
+        for r, y, f in zip(rows, labels, fold, strict=True):
+            if f != without:
+                s = sums.setdefault(r[key], [0, 0])
+                s[0] += y
+                s[1] += 1
         return {k: round((b + 4 * prior) / (n + 4), 9) for k, (b, n) in sums.items()}
 
     suffixes, sections = rates("suffix"), rates("section")
-    table = [[float(r[n]) for n in names] + [suffixes[r["suffix"]], sections[r["section"]]] for r in rows]
+    # the trees learn from rates that their own hosts did not make, as new hosts will have them
+    others = [(rates("suffix", f), rates("section", f)) for f in range(FOLDS)]
+    table = [
+        [float(r[n]) for n in names] + [others[f][0].get(r["suffix"], prior), others[f][1].get(r["section"], prior)]
+        for r, f in zip(rows, fold, strict=True)
+    ]
     base, trees = grow_trees(table, labels)
     return Model(base if rows else -1.0, trees, suffixes, sections, prior)
 
