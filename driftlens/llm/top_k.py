@@ -1,8 +1,10 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
 Candidates are sorted by length and cut into buckets of similar length. Each query gets a first threshold, its k-th
-best product in the longest buckets. For every block of queries and every bucket the local cosine threshold, the
-threshold divided by both lengths, decides: above one the bucket is skipped; where it is high, coordinate pruning
+best product in the longest buckets. A block of queries meets a group of buckets, and of these a bucket, only where
+its longest vector is long enough for some query's threshold: that is tested before anything is moved. For every block
+and bucket that meet, the local cosine threshold, the threshold divided by both lengths, decides: above one the bucket
+is skipped for the query; where it is high, coordinate pruning
 keeps the candidates whose largest query coordinates lie in the feasible interval; else length pruning keeps a
 prefix of the bucket. The products of what is left are verified exactly.
 """
@@ -23,6 +25,8 @@ from driftlens.llm.common import stash
 
 #: Candidates in a bucket, queries in a block, buckets for the first thresholds.
 BUCKET, BLOCK, SEEDS = 4096, 256, 2
+#: Groups of buckets, at most.
+GROUPS = 4096
 COORDINATE_FROM = 0.9
 #: Products of doubles are exact below this.
 EXACT = float(1 << 53)
@@ -45,10 +49,20 @@ def _pack(ids: np.ndarray, rows: np.ndarray, floor: np.ndarray | None = None) ->
     return {
         "dims": rows.shape[1], "n": len(ids), "longest": float(np.sqrt((rows**2).sum(1).max(initial=0))), "ids": ids.astype(np.int64).tobytes(),
         "kind": "i2" if small else "f8", "rows": rows.astype(np.int16 if small else np.float64).tobytes(),
-        "floor": b"" if floor is None else floor.astype(np.float64).tobytes(),
+        "floor": b"" if floor is None else floor.astype(np.float64).tobytes(), "reach": _reach(rows, floor),
     }
 
 
+def _reach(rows: np.ndarray, floor: np.ndarray | None) -> float:
+    """The least length of a vector that may come up to some query's threshold."""
+    if floor is None or not len(rows):
+        return 0.0
+    lengths = np.sqrt((rows**2).sum(1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        least = np.where(floor <= 0, 0.0, np.where(lengths > 0, floor / lengths, np.inf))
+    return float(least.min()) * (1 - 1e-9)
+
+
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows = np.frombuffer(row["rows"], np.int16 if row["kind"] == "i2" else np.float64).astype(np.float64)
     return np.frombuffer(row["ids"], np.int64), rows.reshape(row["n"], row["dims"]), np.frombuffer(row["floor"], np.float64)
@@ -99,19 +113,37 @@ def search_block(qids, q, floor, cids, c, longest, k) -> Iterator[tuple[int, lis
             yield row, best(scores, cids[at], k)
 
 
+def met(asked: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The pairs of a block of queries and a bucket that may hold one of its results.
+
+    Buckets stand from long to short; neighbours form groups, more of them the more data there is. A block is copied to
+    the groups only that its reach admits.
+    """
+    parts = (buckets.agg(F.max(F.shiftright("block", 33))).first()[0] or 0) + 1
+    split = 8 if parts < 64 else 1
+    group = (F.floor(F.shiftright("block", 33) / -(-parts // GROUPS)) * split + F.pmod("block", F.lit(split))).cast("int")
+    right = buckets.select("dims", *(F.col(c).alias(f"c_{c}") for c in ("n", "longest", "ids", "kind", "rows")), group.alias("g"))
+    longest = right.groupBy("g").agg(F.max("c_longest").alias("top")).collect()  # one row for each of at most GROUPS
+    tops = F.lit([float(r["top"]) for r in sorted(longest, key=lambda r: r["g"])] or [0.0])
+    numbers = F.lit(sorted(r["g"] for r in longest) or [0])
+    open_to = F.filter(F.arrays_zip(numbers.alias("g"), tops.alias("top")), lambda x: x["top"] >= F.col("reach"))
+    left = asked.select("dims", "reach", *(F.col(c).alias(f"q_{c}") for c in ("block", "n", "ids", "kind", "rows", "floor")), F.explode(F.transform(open_to, lambda x: x["g"])).alias("g"))
+    return left.join(right, ["g", "dims"]).where("c_longest >= reach").drop("reach")
+
+
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query (rows whose id is divisible by ``every``) and rank: query_id, rank, id, score.
 
     Candidates are all rows but those with the query's id; ties go to the smaller id. Vectors that are null, empty or
     hold null or non-finite components, and rows with null id, take no part; vectors of other lengths than the
-    query's are no candidates. A repeated query row counts once, a repeated candidate row as often as it stands. An
+    query's are no candidates. A repeated query row counts once, a repeated candidate row as often as it stands; different
+    query rows of one id share one ranking, of the best of them. An
     empty table gives no rows; queries without candidates give none.
     """
     spark = vectors.sparkSession
     ready = vectors.select(vectors[id_col].cast("long").alias("id"), quantized(vectors[vector_col]).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0))
     ready = ready.withColumn("dims", F.size("v")).withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    kind = "block long, dims int, n int, longest double, ids binary, kind string, rows binary, floor binary"
-    names = ["dims", "n", "longest", "ids", "kind", "rows", "floor"]
+    kind = "block long, dims int, n int, longest double, ids binary, kind string, rows binary, floor binary, reach double"
 
     def blocks(size: int, seeds: list[dict]):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,17 +183,13 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
 
         return work
 
-    arrow = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("kind", pa.string()), ("rows", pa.binary()), ("floor", pa.binary())])
+    arrow = pa.schema([("block", pa.int64()), ("dims", pa.int32()), ("n", pa.int32()), ("longest", pa.float64()), ("ids", pa.binary()), ("kind", pa.string()), ("rows", pa.binary()), ("floor", pa.binary()), ("reach", pa.float64())])
     ordered = ready.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id").select("id", "v", "dims")
     buckets = stash(ordered.mapInArrow(blocks(BUCKET, []), kind), "buckets")
     # a few buckets of bounded size: the longest vectors
     seeds = [r.asDict() | {"rows": bytes(r["rows"]), "ids": bytes(r["ids"]), "floor": b""} for r in buckets.orderBy(F.desc("longest"), "block").limit(SEEDS).collect()]
     queries = ready.where(F.col("id") % every == 0).select("id", "v", "dims").dropDuplicates(["id", "v"])
     asked = queries.mapInArrow(blocks(BLOCK, seeds), kind)
-    groups = max(1, min(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    left = asked.select("dims", *(F.col(c).alias(f"q_{c}") for c in ("block", "n", "ids", "kind", "rows", "floor")), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    right = buckets.select("dims", *(F.col(c).alias(f"c_{c}") for c in ("n", "longest", "ids", "kind", "rows")), F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"))
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()  # thresholds of the blocks seen last rise as buckets go by
         for batch in batches:
@@ -181,6 +209,6 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["query_id", "id", "score"])
 
-    pairs = left.join(right, ["g", "dims"]).mapInArrow(search, "query_id long, id long, score long")
+    pairs = met(asked, buckets).mapInArrow(search, "query_id long, id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
