@@ -29,17 +29,18 @@ class Miner:
         return same / len(template), template.count(ANY)
 
     def _leaf(self, tokens: list[str], make: bool) -> list[int] | None:
+        """The clusters below a token list's prefix, which is shorter than the list; made where it is missing."""
         node = self.root.setdefault(len(tokens), {}) if make else self.root.get(len(tokens))
-        for token in tokens[: self.levels]:
+        for token in tokens[: min(self.levels, len(tokens) - 1)] if tokens else ():
             if node is None:
                 return None
             if not make:
                 node = node.get(token, node.get(ANY))
                 continue
             if token not in node:
-                if any(c.isdigit() for c in token) or len(node) + 1 >= self.children and ANY in node:
-                    token = ANY
-                elif len(node) + 1 == self.children:
+                # with a parameter among them a node may have as many children as allowed, without it one is kept free
+                room = len(node) < self.children if ANY in node else len(node) + 1 < self.children
+                if not room or any(c.isdigit() for c in token):
                     token = ANY
             node = node.setdefault(token, {})
         if node is None:
@@ -112,3 +113,17 @@ def mine_two_phase(lines: DataFrame, key: str = "service", text: str = "message"
     partial = counts.groupBy(key, "salt").applyInPandas(local, f"{key} {kind}, masked string, n long, first long")
     summed = partial.groupBy(key, "masked").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     return summed.groupBy(key).applyInPandas(lambda g: _mine(g, key, ["first", "masked"], options), f"{key} {kind}, template_id long, template string, size long")
+
+
+def churn(lines: DataFrame, key: str = "service", text: str = "message", order: str = "line_no", masked=mask_line, **options) -> DataFrame:
+    """(key, held, created, evicted): how many templates a service's miner has, made and let go."""
+    kind = lines.schema[key].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        miner = Miner(**options)
+        for masked_text, n in group.sort_values(["first", "masked"])[["masked", "n"]].itertuples(index=False):
+            miner.add(masked_text.split(" ") if masked_text else [], int(n))
+        made = miner.next - 1
+        return pd.DataFrame([(group[key].iloc[0], len(miner.clusters), made, made - len(miner.clusters))], columns=[key, "held", "created", "evicted"])
+
+    return masked_counts(lines, key, text, order, masked).groupBy(key).applyInPandas(run, f"{key} {kind}, held long, created long, evicted long")

@@ -57,14 +57,22 @@ def masked_lines(spark, sf_dir):
     return event_lines(spark, sf_dir).select("line_no", text.mask_line(F.col("message")).alias("masked"))
 
 
+#: Beginnings of lines, by the line's number.
+LEVEL_STARTS = ["[WARNING] ", "x level=error y ", 'level="debug" ', "a=b=error ", "level='error' ", "one two three four five six error ", "[err] ", "  (Fatal): ", "x=INFORMATION ", "t=1 503 "]
+SEVERITY_STARTS = ["panic: ", "no error ", "KeyError: ", "read: connection reset by ", "GET /api/panic ", "fatal=1 ", "non-fatal ", "Out-of-Memory ", "ERROR ", "connection <*> refused ", "handleError called ", "java.io.IOException: Too many open files ", "oom_score_adj=3 ", "Error rate ", "WARNING: ", "xERROR ", "a/b broken pipe ", "broken <NUM> pipe "]
+
+
+def _started(spark, sf_dir, starts):
+    at = F.element_at(F.lit(starts), (F.col("line_no") % len(starts) + 1).cast("int"))
+    return event_lines(spark, sf_dir).select("line_no", F.concat(at, F.col("message")).alias("message"))
+
+
 def detected_levels(spark, sf_dir):
-    x = event_lines(spark, sf_dir).select("line_no", F.concat(F.lit("["), F.when(F.col("line_no") % 3 == 0, "WARNING").when(F.col("line_no") % 3 == 1, "level=error").otherwise("main"), F.lit("] "), "message").alias("message"))
-    return x.select("line_no", text.detect_level(F.col("message")).alias("level"))
+    return _started(spark, sf_dir, LEVEL_STARTS).select("line_no", text.detect_level(F.col("message")).alias("level"))
 
 
 def inferred_levels(spark, sf_dir):
-    x = document_lines(spark, sf_dir).select(text.mask_line(F.col("message")).alias("template")).groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-    return x.select("template", "n", text.infer_level(F.col("template")).alias("level"))
+    return _started(spark, sf_dir, SEVERITY_STARTS).select("line_no", text.infer_level(F.col("message")).alias("level"))
 
 
 def mined_templates(spark, sf_dir):
@@ -167,17 +175,23 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _masked(column: str) -> str:
-    out = column
-    for pattern, mask in text.LINE_MASKS:
-        quoted = pattern.replace("'", "''")
-        out = f"regexp_replace({out}, '{quoted}', '{mask}', 'g')"
-    return out
+def _sql_list(texts: list[str]) -> str:
+    return "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + "]"
+
+
+#: The stateless masks as literal text, apart from the code under test.
+_MASKS = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
+'\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:?\d{2})?', '<TS>', 'g'),
+'[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}', '<UUID>', 'g'),
+'\b\d{1,3}(\.\d{1,3}){3}\b', '<IP>', 'g'),
+'\b(0x[0-9a-fA-F]+|[0-9a-fA-F]{12,})\b', '<HEX>', 'g'),
+'\b[-+]?\d+(\.\d+)?(ns|us|ms|s|KB|MB|GB|B|%)?\b', '<NUM>', 'g'),
+'"[^"]{0,200}"', '<STR>', 'g')"""
 
 
 _L = """l as (select 'svc' || (user_id % 7) as service, case when event_type = 'error' then 'error' else 'info' end as level,
 event_type || ' user ' || user_id || ' took ' || value::decimal(18,2) || 'ms from 10.0.0.' || (user_id % 256) || ' said "' || props || '"' as message, epoch_us(ts) // 1000000 as ts, event_id as line_no, event_type from events)"""
-_T = _L + f", t as (select service, {_masked('message')} as template, level, ts // 60 * 60 as ts from l)"
+_T = _L + f", t as (select service, {_MASKS} as template, level, ts // 60 * 60 as ts from l)"
 _SP = """s as (select o_orderkey as trace_id, 0 as span_id, null::int as parent_id, 'front' as service_name, '/order/{id}' as span_name, 'SERVER' as span_kind, case when o_orderstatus = 'F' then 'ERROR' else 'OK' end as status_code, (o_orderkey % 1500)::double as duration_ms from orders
 union all select l_orderkey, l_linenumber::int, 0, 'store' || (l_suppkey % 5), '/item', 'CLIENT', case when l_returnflag = 'R' then 'ERROR' else 'OK' end, (l_partkey % 900)::double from lineitem)"""
 _LE = ", ".join(f"count(*) filter (duration_ms <= {b}) as le_{b}" for b in traces.BOUNDS)
@@ -189,11 +203,22 @@ ORACLE = {
     "dominant_level": f"with {_T}, c as (select service, level, count(*) as n from t group by all), r as (select *, row_number() over (partition by service order by n desc, level) as rn, sum(n) over (partition by service) as lines from c) select service, level as dominant, lines::bigint as lines from r where rn = 1",
     "new_templates": f"with {_L}, e as (select service, event_type || ' ' || (line_no % 400) as template, ts from l), f as (select service, template, min(ts) as first_ts from e group by all having min(ts) - (select min(ts) from e) >= 86400) select service, template, first_ts, count(*) as lines from e join f using (service, template) where ts <= first_ts + 432000 group by all having count(*) >= 2",
     "signature_findings": f"with {_T}, c as (select service, template, count(*) as n from t group by all), m as (select *, 'failing' as signature from c where regexp_matches(template, '^error user') union all select *, 'buying' from c where regexp_matches(template, 'purchase .* took')), r as (select *, row_number() over (partition by service, signature order by n desc, template) as rn, sum(n) over (partition by service, signature) as lines from m) select service, signature, template, lines::bigint as lines from r where rn = 1",
-    "detected_levels": "select event_id as line_no, case event_id % 3 when 0 then 'warn' when 1 then 'error' else case when event_type = 'error' then 'error' else '' end end as level from events",
+    "masked_lines": f"with {_L} select line_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '10\\.0\\.0\\.\\d+', '<IP>'), ' user \\d+ ', ' user <NUM> '), 'took \\d+\\.\\d\\dms', 'took <NUM>'), '([^A-Za-z0-9])\\d+}}', '\\1<NUM>}}') as masked from l",
+    "detected_levels": f"""with {_L}, m as (select line_no, {_sql_list(LEVEL_STARTS)}[line_no % 10 + 1] || message as m from l),
+w as (select line_no, unnest(list_transform(list_slice(list_filter(string_split(m, ' '), lambda t: t <> ''), 1, 6), lambda t: trim(t, '[]():,'))) as t, generate_subscripts(list_slice(list_filter(string_split(m, ' '), lambda t: t <> ''), 1, 6), 1) as i from m),
+v as (select line_no, i, lower(case when strpos(t, '=') > 0 then trim(substr(t, strpos(t, '=') + 1), '"') else t end) as v from w),
+c as (select line_no, i, case when length(v) between 4 and 13 then case when v in ('error', 'fatal', 'critical', 'crit', 'panic', 'alert', 'emerg', 'emergency', 'severe') then 'error' when v in ('warn', 'warning') then 'warn'
+when v in ('info', 'notice', 'information', 'informational') then 'info' when v in ('debug', 'trace', 'fine', 'finer', 'finest') then 'debug' end end as l from v)
+select line_no, coalesce(arg_min(l, i) filter (l is not null), '') as level from c group by 1""",
+    "inferred_levels": f"""with {_L}, m as (select line_no, regexp_replace(regexp_replace({_sql_list(SEVERITY_STARTS)}[line_no % 18 + 1] || message, '[^ ]*/[^ ]*', ' # ', 'g'), '<[A-Z*]+>', ' # ', 'g') as p from l),
+k as (select line_no, p, regexp_replace(regexp_replace(p, '(?i)non-[a-z0-9_]+', ' ', 'g'), '[A-Za-z0-9_]+=', ' ', 'g') as w from m)
+select line_no, case when regexp_matches(w, '(^|[^A-Za-z0-9_])((?i:panic|panicked|fatal|segfault|sigsegv|sigabrt|sigbus|deadlock|oom|oomkilled|crashloopbackoff|traceback|outofmemoryerror|stackoverflowerror|memoryerror|recursionerror)|ERROR|CRITICAL|CRIT|SEVERE|EMERG)($|[^A-Za-z0-9_])')
+or regexp_matches(p, '(?i)\\b(out[^a-z0-9_#]+of[^a-z0-9_#]+memory|segmentation[^a-z0-9_#]+fault|core[^a-z0-9_#]+dumped|nil[^a-z0-9_#]+pointer[^a-z0-9_#]+dereference|uncaught[^a-z0-9_#]+exception|unhandled[^a-z0-9_#]+exception|exception[^a-z0-9_#]+in[^a-z0-9_#]+thread|no[^a-z0-9_#]+space[^a-z0-9_#]+left[^a-z0-9_#]+on[^a-z0-9_#]+device|too[^a-z0-9_#]+many[^a-z0-9_#]+open[^a-z0-9_#]+files)\\b') then 'error'
+when regexp_matches(w, '(^|[^A-Za-z0-9_])((?i:econnrefused|econnreset)|WARN|WARNING|[A-Z][A-Za-z0-9_]*(Exception|Error))($|[^A-Za-z0-9_])') or regexp_matches(p, '(?i)\\b(connection[^a-z0-9_#]+refused|connection[^a-z0-9_#]+reset|broken[^a-z0-9_#]+pipe)\\b') then 'warn' else '' end as level from k""",
     "capped_services": "with f as (select user_id, min(event_id) as m from events group by 1 order by 2, user_id::varchar limit 20) select coalesce(f.user_id::varchar, '_other') as service, count(*) as n from events e left join f using (user_id) group by 1",
     "container_lines": f"with {_L} select service as path, line_no, message as text from l",
     "json_fields": "select event_id, event_type as message, case when event_id % 4 = 0 then 'unknown' else 's' || (user_id % 5) end as service, case when event_id % 4 = 0 then '' when event_type = 'error' then 'error' else 'info' end as level from events",
-    "score_lines": "select 'anomaly_score{metric=\"requests\",service=\"' || event_type || '\\\"q\\\\\"} ' || count(*)::double as line from events group by event_type",
+    "score_lines": "select 'anomaly_score{metric=\"requests\",service=\"' || event_type || '\\\"q\\\\\"} ' || count(*) as line from events group by event_type",
     "trace_red": f"with {_SP} select service_name, span_name, span_kind, status_code, count(*) as calls, sum(duration_ms) as duration_sum, {_LE} from s group by 1, 2, 3, 4",
     "service_graph": f"with {_SP} select p.service_name as client, c.service_name as server, count(*) as requests, count(*) filter (c.status_code = 'ERROR') as failed, round(avg(c.duration_ms), 6) as latency from s c join s p on c.trace_id = p.trace_id and c.parent_id = p.span_id where p.service_name <> c.service_name group by 1, 2",
     "tail_sampling": f"with {_SP}, k as (select trace_id from s group by 1 having trace_id % 10 <> 3 and (bool_or(status_code = 'ERROR') or max(duration_ms) > 1400 or trace_id % 100 < 2)) select service_name, count(*) as n, sum(trace_id)::bigint as total from s where trace_id in (select trace_id from k) group by 1",

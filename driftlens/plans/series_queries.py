@@ -143,7 +143,7 @@ def percentage_match(spark, sf_dir):
 
 def new_terms(spark, sf_dir):
     rows = events(spark, sf_dir).select("user_id", "event_type", series.bucket(F.col("ts"), 1).alias("ts"))
-    return rules.new_terms(rows, ("user_id", "event_type"), 1705968000, 14 * 86400)
+    return rules.new_terms(rows, ("user_id", "event_type"), 1705968000, 2 * 86400)
 
 
 def burn_rate(spark, sf_dir):
@@ -168,7 +168,10 @@ def vector_matching(spark, sf_dir):
 
 
 def absent_over_time(spark, sf_dir):
-    return promql.absent_over_time(points(spark, sf_dir), 1735689600, 600)
+    """Within the data, and behind it."""
+    p = points(spark, sf_dir)
+    inside = promql.absent_over_time(p, 1705968000, 7200).withColumn("at", F.lit("inside"))
+    return inside.unionByName(promql.absent_over_time(p, 1735689600, 600).withColumn("at", F.lit("behind")))
 
 
 def throttled(spark, sf_dir):
@@ -238,7 +241,7 @@ select key, ts, value, round(median(x), 6) as prediction from t where x is not n
     "spike": f"with {_P}, a as (select key, ts, sum(value) over w1 as cur, coalesce(sum(value) over w2, 0) as ref from p window w1 as (partition by key order by ts range between 21599 preceding and current row), w2 as (partition by key order by ts range between 43199 preceding and 21600 preceding)) select key, ts, cur, ref from a where cur >= 5 and ref >= 2 and cur >= 1.5 * ref",
     "flatline": f"with {_P}, a as (select key, ts, sum(value) over (partition by key order by ts range between 21599 preceding and current row) as cur, min(ts) over (partition by key) as f from p) select key, ts, cur from a where cur < 8 and ts - f >= 21600",
     "percentage_match": "select user_id % 10 as service, epoch_us(ts) // 86400000000 as day, count(*) filter (event_type = 'error') as hits, count(*) as total, round(100.0::double * count(*) filter (event_type = 'error') / count(*), 6) as share from events group by 1, 2 having count(*) >= 5 and 100.0 * count(*) filter (event_type = 'error') / count(*) > 10",
-    "new_terms": "with e as (select user_id, event_type, epoch_us(ts) // 1000000 as ts from events) select user_id, event_type, min(ts) as first from e where ts >= 1705968000 and not exists (select 1 from e o where o.user_id = e.user_id and o.event_type = e.event_type and o.ts < 1705968000 and o.ts >= 1705968000 - 1209600) group by 1, 2",
+    "new_terms": "with e as (select user_id, event_type, epoch_us(ts) // 1000000 as ts from events) select user_id, event_type, min(ts) as first from e where ts >= 1705968000 and not exists (select 1 from e o where o.user_id = e.user_id and o.event_type = e.event_type and o.ts < 1705968000 and o.ts >= 1705968000 - 172800) group by 1, 2",
     "burn_rate": """with m as (select 'all' as key, epoch_us(ts) // 300000000 * 300 as ts, count(*) filter (event_type = 'error') as errors, count(*) as total from events group by 2)
 select key, ts, errors, total, round(r5m, 6) as r5m, round(r30m, 6) as r30m, round(r1h, 6) as r1h, round(r6h, 6) as r6h, r1h > 14.4::double * (1 - 0.97::double) and r5m > 14.4::double * (1 - 0.97::double) as fast, r6h > 6 * (1 - 0.97::double) and r30m > 6 * (1 - 0.97::double) as slow
 from (select *, """ + ", ".join(f"(sum(errors) over {n})::double / nullif(sum(total) over {n}, 0) as {c}" for n, c in (("w1", "r5m"), ("w2", "r30m"), ("w3", "r1h"), ("w4", "r6h"))) + """ from m
@@ -248,5 +251,5 @@ window """ + ", ".join(f"{n} as (partition by key order by ts range between {s -
 select key, ts, value, 'and' as op from high where ts in (select ts from busy) union all select key, ts, value, 'unless' from high where ts not in (select ts from busy)
 union all select 'all', ts, value, 'or' from busy union all select key, ts, value, 'or' from low where ts not in (select ts from busy)
 union all select 'share', p.ts, round(p.value / nullif(t.value, 0), 6), '/' from p join t using (ts)""",
-    "absent_over_time": f"with {_P} select 1.0::double as value where not exists (select 1 from p where ts > 1735689000 and ts <= 1735689600)",
+    "absent_over_time": f"with {_P}, a as (select * from (values (1705968000, 7200, 'inside'), (1735689600, 600, 'behind')) t(at_s, w, nm)) select 1.0::double as value, nm as \"at\" from a where not exists (select 1 from p where ts > at_s - w and ts <= at_s)",
 }

@@ -33,16 +33,35 @@ def join_partials(lines: DataFrame, keys: tuple[str, ...] = ("path", "stderr"),
     return numbered.groupBy(*keys, "__g").agg(F.min(order).alias(order), F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("text")).drop("__g")
 
 
+_ENTRIES = "map<string,string>"
+
+
 def field(line: Column, path: str) -> Column:
-    """A field of a JSON line by its flat or nested name; other values than strings as JSON text; JSON null is null."""
-    flat = F.get_json_object(line, f"$['{path}']")
-    return F.coalesce(flat, F.get_json_object(line, "$." + path)) if "." in path else flat
+    """A field of a JSON object by its dotted path, flat, nested or both; of several the last in the text.
+
+    Other values than strings come as JSON text, so a JSON null is ``null``; a missing field is null.
+    """
+
+    def found(text: Column, parts: list[str]) -> Column:
+        """An array of the values, in order."""
+        entries = F.coalesce(F.map_entries(F.from_json(text, _ENTRIES)), F.expr("cast(array() as array<struct<key: string, value: string>>)"))
+
+        def values(e: Column) -> Column:
+            out = F.when(e["key"] == ".".join(parts), F.array(F.coalesce(e["value"], F.lit("null"))))
+            for k in range(1, len(parts)):
+                head = ".".join(parts[:k])
+                out = out.when((e["key"] == head) & F.startswith(F.ltrim(e["value"]), F.lit("{")), found(e["value"], parts[k:]))
+            return out.otherwise(F.expr("cast(array() as array<string>)"))
+
+        return F.flatten(F.transform(entries, values))
+
+    return F.try_element_at(found(line, path.split(".")), F.lit(-1))
 
 
 def extract(lines: DataFrame, text: str = "text", default_service: str = "unknown") -> DataFrame:
     """Adds message, service and level (as logged); a JSON line without message has an empty one, a plain line itself."""
     line = F.col(text)
-    is_json = F.startswith(F.ltrim(line), F.lit("{")) & F.try_parse_json(line).isNotNull()
+    is_json = F.startswith(F.ltrim(line), F.lit("{")) & F.from_json(line, _ENTRIES).isNotNull()
     return lines.withColumns({
         "message": F.when(is_json, F.coalesce(field(line, "message"), F.lit(""))).otherwise(line),
         "service": F.coalesce(F.when(is_json, field(line, "service.name")), F.lit(default_service)),
@@ -78,7 +97,8 @@ def exposition(samples: DataFrame, metric: str = "metric", labels: str = "labels
     good = F.map_filter(F.col(labels), lambda k, _: F.rlike(k, F.lit("^[A-Za-z_][A-Za-z0-9_]*$")) & ~F.startswith(k, F.lit("__")))
     pairs = F.transform(F.array_sort(F.map_entries(good)), lambda e: F.concat(e["key"], F.lit('="'), escape(e["value"]), F.lit('"')))
     v = F.col(value)
-    number = F.when(F.isnan(v), "NaN").when(v == float("inf"), "+Inf").when(v == float("-inf"), "-Inf").otherwise(v.cast("string"))
+    whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
+    number = F.when(F.isnan(v), "NaN").when(v == float("inf"), "+Inf").when(v == float("-inf"), "-Inf").when(whole, v.cast("decimal(18,0)").cast("string")).otherwise(F.regexp_replace(F.lower(v.cast("string")), r"\.0e|e(?=\d)", "e+"))
     return samples.select(F.concat(F.col(metric), F.lit("{"), F.array_join(pairs, ","), F.lit("} "), number).alias("line"))
 
 
