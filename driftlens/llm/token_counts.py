@@ -33,8 +33,9 @@ _LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f"
 _LATIN_BOTH = f"A-Z\xc0-\xd6\xd8-\xde{_LATIN}"
 _PRE_BYTES = re.compile(rf" ?[{_LATIN_BOTH}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^{_LATIN_BOTH}0-9\s]+|\s+(?!\S)|\s+")
 _PRE_WORDS = re.compile(rf"[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^{_LATIN}0-9\s]+")
-#: Longer pieces are encoded each time, the others are remembered; a memory beyond this many is emptied.
-PIECE_CHARS, REMEMBERED = 64, 600_000
+#: Longer pieces are encoded each time, the others are remembered; beyond this many, those that were not
+#: met since the last time are forgotten.
+PIECE_CHARS, REMEMBERED = 64, 150_000
 #: Bytes of new pieces in one call of the library.
 BATCH_BYTES = 1 << 20
 
@@ -93,7 +94,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, keep: Callable, total: Callable):
-        self.tokenizer, self.keep, self.total, self.known = load(path), keep, total, {}
+        self.tokenizer, self.keep, self.total, self.known, self.old = load(path), keep, total, {}, {}
         normal, suffix = self.tokenizer.normalizer, getattr(self.tokenizer.model, "end_of_word_suffix", None)
         #: Word BPE lower-cases and drops white space; in byte-level BPE tokens begin with a space.
         self.drops = suffix == "</w>" and normal is not None and normal.normalize_str("A") == "a"
@@ -129,14 +130,17 @@ class Encoder:
     def texts(self, texts: list[str]) -> list:
         """What is kept of each text."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, cut = self.known, words if self.drops else pieces
+            self.known, self.old = {}, self.known
+        known, old, cut = self.known, self.old, words if self.drops else pieces
         out, new, single = [], set(), set()
         for text in texts:
             parts, fine = cut(text)
             found = list(map(known.get, parts))
             gaps = [k for k, x in enumerate(found) if x is None] if None in found else []
             for k in gaps:
+                if parts[k] in old:
+                    known[parts[k]] = old[parts[k]]
+                    continue
                 word = fine and (self.drops or len(parts[k]) > 1 and parts[k][0] == " ")
                 (single if word and len(parts[k]) <= PIECE_CHARS else new).add(parts[k])
             out.append((found, [(k, parts[k]) for k in gaps]))
