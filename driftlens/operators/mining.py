@@ -74,12 +74,36 @@ class Miner:
         self.clusters.move_to_end(found)
         return found
 
+    def hit(self, k: int, weight: int = 1) -> bool:
+        """Counts more lines of a cluster whose id is known; false where it was let go."""
+        if k not in self.clusters:
+            return False
+        self.clusters[k][1] += weight
+        self.clusters.move_to_end(k)
+        return True
+
+    def restore(self, k: int, tokens: list[str], size: int) -> None:
+        """Takes a cluster of a snapshot back under its id; the least recently used one has to come first."""
+        self.clusters[k] = [list(tokens), size]
+        self._leaf(tokens, make=True).append(k)
+        self.next = max(self.next, k + 1)
+        if len(self.clusters) > self.most:
+            self.clusters.popitem(last=False)
+
+    def snapshot(self) -> list[tuple[int, str, int, int]]:
+        """(id, template, size, used) of each cluster; ``used`` rises with the time of last use."""
+        return [(k, " ".join(t), n, used) for used, (k, (t, n)) in enumerate(self.clusters.items())]
+
+
+def _tokens(text: str) -> list[str]:
+    return text.split(" ") if text else []
+
 
 def _mine(group: pd.DataFrame, key: str, order: list[str], options: dict) -> pd.DataFrame:
     miner = Miner(**options)
     group = group.sort_values(order)
     for text, n in zip(group["masked"], group["n"], strict=True):
-        miner.add(text.split(" ") if text else [], int(n))
+        miner.add(_tokens(text), int(n))
     rows = [(group[key].iloc[0], k, " ".join(t), s) for k, (t, s) in sorted(miner.clusters.items())]
     return pd.DataFrame(rows, columns=[key, "template_id", "template", "size"])
 
@@ -122,8 +146,78 @@ def churn(lines: DataFrame, key: str = "service", text: str = "message", order:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         miner = Miner(**options)
         for masked_text, n in group.sort_values(["first", "masked"])[["masked", "n"]].itertuples(index=False):
-            miner.add(masked_text.split(" ") if masked_text else [], int(n))
+            miner.add(_tokens(masked_text), int(n))
         made = miner.next - 1
         return pd.DataFrame([(group[key].iloc[0], len(miner.clusters), made, made - len(miner.clusters))], columns=[key, "held", "created", "evicted"])
 
     return masked_counts(lines, key, text, order, masked).groupBy(key).applyInPandas(run, f"{key} {kind}, held long, created long, evicted long")
+
+
+def fold_services(known: DataFrame, most: int, key: str = "service", overflow: str = "_other") -> DataFrame:
+    """A snapshot (key, template_id, template, size, used) for at most ``most`` services: by name, the rest share
+    ``overflow``. Adds ``origin``, the service as it was saved."""
+    own = known.where(F.col(key) != overflow).select(F.col(key).alias("origin")).distinct().orderBy("origin").limit(most).withColumn("__own", F.lit(True))
+    return known.withColumnRenamed(key, "origin").join(own, "origin", "left").withColumn(key, F.when(F.col("__own"), F.col("origin")).otherwise(F.lit(overflow))).drop("__own")
+
+
+def _restored(known: pd.DataFrame, key: str, options: dict) -> Miner:
+    """A miner from a service's snapshot. Rows of other origin, and ids that are held already, get new ids or merge."""
+    miner = Miner(**options)
+    if "origin" not in known.columns:
+        known = known.assign(origin=known[key])
+    known = known.assign(foreign=known["origin"] != known[key]).sort_values(["foreign", "origin", "used"], ascending=[False, True, True])
+    for k, text, n, foreign in known[["template_id", "template", "size", "foreign"]].itertuples(index=False):
+        if foreign or int(k) in miner.clusters:
+            miner.add(_tokens(text), int(n))
+        else:
+            miner.restore(int(k), _tokens(text), int(n))
+    return miner
+
+
+def _continued(known: pd.DataFrame, group: pd.DataFrame, key: str, options: dict) -> tuple[Miner, list[tuple]]:
+    """The miner after a group's distinct lines, and (masked, id, first, clusters made so far) of each."""
+    miner, out = _restored(known, key, options), []
+    for text, n, first in group.sort_values(["first", "masked"])[["masked", "n", "first"]].itertuples(index=False):
+        out.append((text, miner.add(_tokens(text), int(n)), first, miner.next - 1))
+    return miner, out
+
+
+def continue_mining(known: DataFrame, lines: DataFrame, key: str = "service", text: str = "message", order: str = "line_no", masked=mask_line, **options) -> DataFrame:
+    """The next snapshot (key, template_id, template, size, used) after more lines, from one that ``fold_services`` or
+    this function gave; written as a table it is what a restart reads. Ids stay; ids let go are given out again only if
+    they were the highest. Services without new lines stay as they are, an empty snapshot starts from nothing."""
+    kind = lines.schema[key].dataType.simpleString()
+
+    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        miner, _ = _continued(old, new, key, options)
+        name = (old if len(old) else new)[key].iloc[0]
+        return pd.DataFrame([(name, *row) for row in miner.snapshot()], columns=[key, "template_id", "template", "size", "used"])
+
+    counts = masked_counts(lines, key, text, order, masked)
+    return known.groupBy(key).cogroup(counts.groupBy(key)).applyInPandas(run, f"{key} {kind}, template_id long, template string, size long, used long")
+
+
+def assign_templates(known: DataFrame, lines: DataFrame, key: str = "service", text: str = "message", order: str = "line_no", masked=mask_line, **options) -> DataFrame:
+    """(key, masked, template_id, first, made) of each distinct masked line: the template that took it, where it first
+    stood and how many templates had been made by then. Equal texts keep the id that the first of them got."""
+    kind, place = lines.schema[key].dataType.simpleString(), lines.schema[order].dataType.simpleString()
+
+    def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        rows = _continued(old, new, key, options)[1]
+        return pd.DataFrame([(new[key].iloc[0], *row) for row in rows], columns=[key, "masked", "template_id", "first", "made"])
+
+    counts = masked_counts(lines, key, text, order, masked)
+    return known.groupBy(key).cogroup(counts.groupBy(key)).applyInPandas(run, f"{key} {kind}, masked string, template_id long, first {place}, made long")
+
+
+def annotate(assigned: DataFrame, lines: DataFrame, key: str = "service", text: str = "message", order: str = "line_no", masked=mask_line, warm_up: int = 20) -> DataFrame:
+    """Lines with their ``template_id`` as text; ``other`` until ``warm_up`` templates of their service were made."""
+    ready = assigned.where(F.col("made") >= warm_up).groupBy(key).agg(F.min("first").alias("__ready"))
+    own = assigned.select(key, F.col("masked").alias("__masked"), F.col("template_id").cast("string").alias("__id")).join(ready, key, "left")
+    each = lines.withColumn("__masked", masked(F.col(text))).join(own, [key, "__masked"], "left")
+    return each.withColumn("template_id", F.when(F.col(order) >= F.col("__ready"), F.col("__id")).otherwise("other")).drop("__masked", "__id", "__ready")
+
+
+def novel_templates(assigned: DataFrame, after, key: str = "service") -> DataFrame:
+    """(key, template_id, first) of the templates none of whose lines stood before ``after``, as the middle of a run."""
+    return assigned.groupBy(key, "template_id").agg(F.min("first").alias("first")).where(F.col("first") >= after)

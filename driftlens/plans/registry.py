@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package with QUERIES and ORACLE.
-MODULES: tuple[str, ...] = ("series_queries", "log_queries", "wire_queries", "finding_queries")
+MODULES: tuple[str, ...] = ("series_queries", "log_queries", "wire_queries", "finding_queries", "mining_queries")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from driftlens.functions.text import template_key, template_text
+from driftlens.functions.text import mask_line, template_key, template_text
 from driftlens.operators.lifecycle import Debounce
+from driftlens.operators.mining import Miner
 
 
 def template_rollup(lines: DataFrame, minutes: int = 1, delay: str = "60 seconds") -> DataFrame:
@@ -51,6 +52,45 @@ def debounce_stream(scored: DataFrame, need: int = 2) -> DataFrame:
     )
 
 
+class MinerProcessor(StatefulProcessor):
+    """Keeps a service's templates between micro-batches, least recently used first, and returns those that changed."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", "id long, template string, size long")
+        self.made = handle.getValueState("made", "next long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        miner = Miner(**self.options)
+        for k, template, size in self.held.get():
+            miner.restore(int(k), template.split(" ") if template else [], int(size))
+        miner.next = int(self.made.get()[0]) if self.made.exists() else 1
+        touched = set()
+        for frame in rows:
+            counts = frame.groupby("masked", sort=False).size()
+            touched.update(miner.add(text.split(" ") if text else [], int(n)) for text, n in counts.items())
+        held = [(k, template, n) for k, template, n, _ in miner.snapshot()]
+        self.held.put(held)
+        self.made.update((miner.next,))
+        yield pd.DataFrame([(key[0], *row) for row in held if row[0] in touched], columns=["service", "template_id", "template", "size"])
+
+    def close(self) -> None:
+        pass
+
+
+def mine_stream(lines: DataFrame, **options) -> DataFrame:
+    """Templates of a stream of (service, message) as they come and grow; needs the RocksDB state store.
+
+    A row tells a template's text and size after a micro-batch; the newest row of an id holds.
+    """
+    masked = lines.select(F.coalesce("service", F.lit("unknown")).alias("service"), F.coalesce(mask_line(F.col("message")), F.lit("")).alias("masked"))
+    return masked.groupBy("service").transformWithStateInPandas(
+        statefulProcessor=MinerProcessor(options), outputStructType="service string, template_id long, template string, size long", outputMode="Update", timeMode="None"
+    )
+
+
 def tail_sample_stream(spans: DataFrame, percent: int, bucket: Column, slow_ms: float = 1000, probe: Column | None = None, wait: str = "15 seconds", delay: str = "15 seconds", ts: str = "ts") -> DataFrame:
     """Spans of the traces to keep of a stream with a ``trace_id``: as ``operators.traces.tail_sample`` judges them.
 
