@@ -104,8 +104,8 @@ def log_lines(spark: SparkSession, lines: int, burst: float = 0.05, share: float
     return each.select(row.alias("line_no"), F.timestamp_millis(F.lit(START * 1000) + row).alias("ts"), "l.service", "l.level", "l.message")
 
 
-def written(lines: DataFrame, app: str = "json", container: str | None = None) -> DataFrame:
-    """(service, line_no, text): lines as an application writes them (json or text), and as a container runtime wraps
+def written(lines: DataFrame, app: str = "json", container: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(service, line_no, keep, text): lines as an application writes them (json or text), and as a container runtime wraps
     them (cri or docker; null: not)."""
     utc = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     at, stream = F.concat(utc, F.lit("Z")), F.when(F.col("level") == "error", "stderr").otherwise("stdout")
@@ -118,7 +118,7 @@ def written(lines: DataFrame, app: str = "json", container: str | None = None) -
         text = F.concat_ws(" ", F.concat(utc, F.lit("000000Z")), stream, F.lit("F"), text)
     elif container == "docker":
         text = F.to_json(F.struct(F.concat(text, F.lit("\n")).alias("log"), stream.alias("stream"), at.alias("time")))
-    return lines.select("service", "line_no", text.alias("text"))
+    return lines.select("service", "line_no", *keep, text.alias("text"))
 
 
 # The constants of FNV-1a and splitmix64, 64 bits.
