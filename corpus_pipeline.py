@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftlens.llm import decontamination, jaccard_join, language_id, packing, pii
-from driftlens.llm.common import stash, table
+from driftlens.llm.common import shorten_batches, stash, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and empty ones too), or whose best two languages can't be told apart, go."""
+    shorten_batches(spark)
     return language_id.drop_rejected(docs, language_id.fit(docs))
 
 
@@ -39,6 +40,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048; null and empty texts are one piece of one id, repeated rows are packed each."""
+    shorten_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import discard, release, slices, stash
+from driftlens.llm.common import discard, forget, release, slices, stash
 from driftlens.llm.components import components
 
 WORDS = 5
@@ -260,6 +260,7 @@ def _shared(hot: int = HOT):
     """Reduce side of one bucket: the entries whose signature two sets or more have, with that number."""
 
     def work(group: pa.Table) -> pa.Table:
+        forget()
         release()
         packed, own = (np.concatenate([np.frombuffer(x, t) for x in group.column(c).to_pylist()]) for c, t in (("entries", np.uint64), ("nodes", np.int64)))
         home = np.repeat(group.column("home").to_numpy().astype(np.uint64), [len(x) // 8 for x in group.column("entries").to_pylist()])

@@ -127,19 +127,20 @@ class Classifier:
 def _judged(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float, text_col: str) -> DataFrame:
     """The columns of ``docs`` as k0, k1, ..., and lang_pred, score, rejected, whatever the columns' names."""
     names = [f"k{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
     cache: dict = {}
 
     def run(batches):
         for batch in slices(batches):
             if "own" not in cache:
                 cache["own"] = Classifier(dictionaries)
-            got = [cache["own"].predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            got = [cache["own"].predict(t) for t in batch.column(at).to_pylist()]
             more = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "lang_pred", "score"])
 
     columns = [docs[c].alias(n) for n, c in zip(names, docs.columns, strict=True)]
     kinds = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)]
-    got = docs.select(*columns, docs[text_col].alias("t")).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    got = docs.select(*columns).mapInArrow(run, ", ".join([*kinds, "lang_pred string", "score double"]))
     return got.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < min_margin))
 
 

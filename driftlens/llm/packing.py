@@ -106,7 +106,7 @@ def pack(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
             held.clear()
 
-        for batch in slices(batches, 128):
+        for batch in slices(batches, 128, keep=True):
             rows = batch.column(0).to_pylist()
             for doc, ids in zip(rows, own.texts([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids += end

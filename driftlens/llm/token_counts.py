@@ -4,7 +4,7 @@ A text is cut where every white-space run begins: the pre-tokenizers of byte-lev
 character with white space that follows it, so the pieces' tokens are the text's tokens and these are the safe
 boundaries. In texts of plain Latin letters the cut is finer, at the pre-tokenizer's own boundaries. Pieces that a
 worker has met are looked up; new ones go to the library in batches balanced by bytes, short words many in a call.
-What a worker remembers is bounded and outlives its task. Nothing is truncated, and a text of any length needs memory
+What a worker remembers is bounded and outlives its task, until one of another operator begins there. Nothing is truncated, and a text of any length needs memory
 for itself and one batch only.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftlens.llm.common import slices
+from driftlens.llm.common import KEPT, release, slices
 
 #: Python counts these four control characters as white space, Unicode's White_Space property does not.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -156,15 +156,12 @@ class Encoder:
         return [self.total(found) for found, _ in out]
 
 
-#: Encoders of this worker, by vocabulary file and what they keep of ids.
-_KNOWN: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, keeps: str) -> Encoder:
     """The worker's encoder of a vocabulary file that keeps ``lengths`` or ``bytes`` (little-endian, 32 bits an id)."""
-    if (path, keeps) not in _KNOWN:
-        _KNOWN[path, keeps] = Encoder(path, *((len, sum) if keeps == "lengths" else (np.ndarray.tobytes, b"".join)))
-    return _KNOWN[path, keeps]
+    if (path, keeps) not in KEPT:
+        KEPT[path, keeps] = Encoder(path, *((len, sum) if keeps == "lengths" else (np.ndarray.tobytes, b"".join)))
+        release()  # reading the file takes several times what stays
+    return KEPT[path, keeps]
 
 
 def count_tokens(
@@ -181,7 +178,7 @@ def count_tokens(
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = tokenizer.endswith(".model")
         own = load(tokenizer) if whole else encoder(tokenizer, "lengths")
-        for batch in slices(batches):
+        for batch in slices(batches, keep=True):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if whole:  # sentencepiece gives no promise about cuts, so each text is one call
                 counts = [len(own.encode(t, num_threads=1)) for t in texts]

@@ -1,10 +1,12 @@
 """The ten operators and the pipeline: edge cases, brute force, round trips and held-out accuracy."""
 
 import collections
+import gc
 import random
 import re
 import time
 import unicodedata
+import weakref
 import zlib
 
 import numpy as np
@@ -16,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftlens.llm import decontamination, html_text, jaccard_join, language_id, packing, pii, queries, secrets, token_counts, top_k, url_filter
+from driftlens.llm import common, decontamination, html_text, jaccard_join, language_id, packing, pii, queries, secrets, token_counts, top_k, url_filter
 from driftlens.llm.components import components
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -771,6 +773,30 @@ def test_pipeline(spark, tmp_path):
     assert check_packing(packed, rows) > 0.9 and len(corpus_pipeline.STAGES) == 5
 
 
+def test_workers_hold_one_operator_at_a_time(spark):
+    """A vocabulary stays from task to task, and goes when another operator's task begins in the worker; texts travel
+    to Python once, and in the pipeline in short batches, also where the caller writes the result."""
+    batch = pa.RecordBatch.from_pydict({"text": ["one two three four five six"]})
+    held = weakref.ref(token_counts.encoder(WORDS, "bytes"))
+    gc.collect()
+    assert held() is not None and token_counts.encoder(WORDS, "bytes") is held()
+    assert sum(b.num_rows for b in jaccard_join._emit(64)(iter([batch]))) > 0
+    gc.collect()
+    assert held() is None
+    token_counts.encoder(WORDS, "bytes")
+    assert len(list(common.slices(iter([batch]), keep=True))) == len(common.KEPT) == 1
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.conf.unset(common.BATCH[0])
+    for k in (0, 4):
+        plan = corpus_pipeline.STAGES[k][1](spark, docs, SF)._jdf.queryExecution().analyzed()
+        assert spark.conf.get(common.BATCH[0]) == common.BATCH[1]
+        spark.conf.unset(common.BATCH[0])
+        while plan.nodeName() != "MapInArrow":
+            plan = plan.children().head()
+        names = [plan.children().head().output().apply(i).dataType().typeName() for i in range(plan.children().head().output().size())]
+        assert names.count("string") == (3 if k == 0 else 1)
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0 or name.startswith("op4")
